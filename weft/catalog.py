@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from weft.registry import QUERIES, SQL
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+MODULES = ("operators.graph", "operators.logs", "operators.sets", "operators.regions", "operators.learning", "functions.scalars", "sources.files")
+for _name in MODULES:
+    importlib.import_module(f"weft.{_name}")
+
+__all__ = ["QUERIES", "SQL"]
