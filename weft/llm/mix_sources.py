@@ -77,7 +77,8 @@ def schedule(targets: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
     ranked = _running(dealt, ["sk"], "chunk", ["slot"], "one", "rank").select("slot", "sk", "rank")
     had = ranked.groupBy("sk").agg(F.count(F.lit(1)).alias("had"))
     short = shares.join(had, "sk", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < need")
-    more = short.select((F.lit(n) + F.col("had")).alias("slot"), "sk", F.explode(F.sequence(F.col("had"), F.col("need") - 1)).alias("rank"))
+    more = short.select("sk", F.explode(F.sequence(F.col("had"), F.col("need") - 1)).alias("rank"))
+    more = more.select((F.lit(n - 1) + F.row_number().over(W.orderBy("rank", "sk"))).cast("long").alias("slot"), "sk", "rank")
     return ranked.unionByName(more)
 
 
