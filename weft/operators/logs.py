@@ -8,8 +8,12 @@ from pyspark.sql.window import Window as W
 from weft.registry import query, table
 from weft.runtime import running_sum
 
-#: Each user's events in order; no user's events are more than one machine's log.
-USER = W.partitionBy("user_id").orderBy("ts", "event_id")
+
+def _user():
+    """Each user's events in order."""
+    return W.partitionBy("user_id").orderBy("ts", "event_id")
+
+
 _USER = "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
 
 
@@ -19,12 +23,12 @@ def _events(spark, d):
 
 @query("w1_gap_to_previous", f"SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap FROM events QUALIFY gap IS NOT NULL {_USER}".replace("QUALIFY gap IS NOT NULL " + _USER, _USER + " QUALIFY gap IS NOT NULL"))
 def gaps(spark, d):
-    return _events(spark, d).select("event_id", (F.col("us") - F.lag("us").over(USER)).alias("gap")).where("gap is not null")
+    return _events(spark, d).select("event_id", (F.col("us") - F.lag("us").over(_user())).alias("gap")).where("gap is not null")
 
 
 @query("w2_rebased_time", f"SELECT event_id, epoch_us(ts) - first_value(epoch_us(ts)) OVER w AS since FROM events {_USER}")
 def rebased(spark, d):
-    return _events(spark, d).select("event_id", (F.col("us") - F.first("us").over(USER)).alias("since"))
+    return _events(spark, d).select("event_id", (F.col("us") - F.first("us").over(_user())).alias("since"))
 
 
 @query("w3_running_counts", "SELECT event_id, " + ", ".join(f"(count(*) FILTER (event_type = '{t}') OVER (ORDER BY ts, event_id))::BIGINT AS n_{t}" for t in ("click", "view", "purchase")) + " FROM events")
@@ -44,7 +48,7 @@ def last_per_hour(spark, d):
 
 @query("w5_time_weighted", f"SELECT user_id, round(sum(value * dt / 1e6), 4) AS integral FROM (SELECT user_id, value, lead(epoch_us(ts)) OVER w - epoch_us(ts) AS dt FROM events {_USER}) GROUP BY 1")
 def time_weighted(spark, d):
-    e = _events(spark, d).withColumn("dt", F.lead("us").over(USER) - F.col("us"))
+    e = _events(spark, d).withColumn("dt", F.lead("us").over(_user()) - F.col("us"))
     return e.groupBy("user_id").agg(F.round(F.sum(F.col("value") * F.col("dt") / 1e6), 4).alias("integral"))
 
 
@@ -59,14 +63,14 @@ def core_attribution(spark, d):
 
 @query("w7_islands", f"WITH c AS (SELECT *, (event_type IS DISTINCT FROM lag(event_type) OVER w)::INT AS new FROM events {_USER}), i AS (SELECT *, sum(new) OVER w AS island FROM c {_USER}) SELECT user_id, island::BIGINT AS island, any_value(event_type) AS event_type, count(*) AS n FROM i GROUP BY user_id, island")
 def islands(spark, d):
-    e = _events(spark, d).withColumn("new", (~F.col("event_type").eqNullSafe(F.lag("event_type").over(USER))).cast("long"))
-    return e.withColumn("island", F.sum("new").over(USER)).groupBy("user_id", "island").agg(F.first("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"))
+    e = _events(spark, d).withColumn("new", (~F.col("event_type").eqNullSafe(F.lag("event_type").over(_user()))).cast("long"))
+    return e.withColumn("island", F.sum("new").over(_user())).groupBy("user_id", "island").agg(F.first("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"))
 
 
 @query("w8_phase_time", f"WITH p AS (SELECT user_id, lead(epoch_us(ts)) OVER w - epoch_us(ts) AS dt, last_value(CASE WHEN event_type IN ('login', 'purchase', 'click') THEN event_type END IGNORE NULLS) OVER w AS phase FROM events {_USER}) SELECT user_id, phase, sum(dt)::BIGINT AS us FROM p GROUP BY 1, 2")
 def phase_time(spark, d):
     marker = F.when(F.col("event_type").isin("login", "purchase", "click"), F.col("event_type"))
-    e = _events(spark, d).withColumn("dt", F.lead("us").over(USER) - F.col("us")).withColumn("phase", F.last(marker, ignorenulls=True).over(USER))
+    e = _events(spark, d).withColumn("dt", F.lead("us").over(_user()) - F.col("us")).withColumn("phase", F.last(marker, ignorenulls=True).over(_user()))
     return e.groupBy("user_id", "phase").agg(F.sum("dt").alias("us"))
 
 
@@ -92,17 +96,17 @@ def latest(spark, d):
 
 @query("p13_without_first", f"SELECT event_id FROM events QUALIFY row_number() OVER w > 3 {_USER}".replace(f"QUALIFY row_number() OVER w > 3 {_USER}", f"{_USER} QUALIFY row_number() OVER w > 3"))
 def without_first(spark, d):
-    return _events(spark, d).withColumn("i", F.row_number().over(USER)).where("i > 3").select("event_id")
+    return _events(spark, d).withColumn("i", F.row_number().over(_user())).where("i > 3").select("event_id")
 
 
 @query("p15_after_marker", f"SELECT event_id FROM events {_USER} QUALIFY max((event_type = 'purchase')::INT) OVER w = 1")
 def after_marker(spark, d):
-    return _events(spark, d).withColumn("seen", F.max((F.col("event_type") == "purchase").cast("int")).over(USER)).where("seen = 1").select("event_id")
+    return _events(spark, d).withColumn("seen", F.max((F.col("event_type") == "purchase").cast("int")).over(_user())).where("seen = 1").select("event_id")
 
 
 @query("p16_until_markers", f"SELECT event_id FROM events {_USER} QUALIFY sum((event_type = 'purchase')::INT) OVER w <= 2")
 def until_markers(spark, d):
-    return _events(spark, d).withColumn("seen", F.sum((F.col("event_type") == "purchase").cast("int")).over(USER)).where("seen <= 2").select("event_id")
+    return _events(spark, d).withColumn("seen", F.sum((F.col("event_type") == "purchase").cast("int")).over(_user())).where("seen <= 2").select("event_id")
 
 
 @query("a20_group_time", "SELECT event_type, round(sum(value), 4) AS total, count(*) AS n, round(sum(value) / count(DISTINCT user_id), 6) AS per_user FROM events GROUP BY 1")
