@@ -104,10 +104,10 @@ def _arrays(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(dot(v, v), 8).alias("dot"), F.round(total(scale_square(v, 0.5)), 8).alias("scaled"), F.round(total(size), 8).alias("abs_sum"), F.round(F.array_max(size), 8).alias("maxabs"), F.element_at(v, -1).cast("double").alias("last"), F.get(F.array_sort(v), F.lit(0)).cast("double").alias("least"), F.round(F.array_max(F.zip_with(v, F.reverse(v), lambda x, y: F.greatest(x, y))).cast("double"), 8).alias("pair_max"))
 
 
-@query("a12_sums", "SELECT l_shipdate::DATE::VARCHAR AS day, round(sum(l_quantity), 4) AS s, round(sum(abs(l_quantity - 25)), 4) AS sumabs, round(avg(l_quantity), 8) AS mean, max(abs(l_quantity - 25)) AS maxabs, min(l_quantity) AS least, round(sum(l_quantity * l_discount), 6) AS dot, round(sum(l_tax * l_quantity * l_discount), 8) AS inner_product, round(sqrt(sum(l_quantity * l_quantity)), 6) AS norm, round(sum(l_quantity * l_tax) / sum(l_quantity), 10) AS center FROM lineitem GROUP BY 1")
+@query("a12_sums", "SELECT l_shipdate::DATE::VARCHAR AS day, round(sum(l_quantity), 4) AS s, round(sum(abs(l_quantity - 25)), 4) AS sumabs, round(avg(l_quantity), 8) AS mean, max(abs(l_quantity - 25)) AS maxabs, min(l_quantity) AS least, round(sum(l_quantity * l_discount), 6) AS dot, round(sum(l_tax * l_quantity * l_discount), 8) AS inner_product, round(sqrt(sum(l_quantity * l_quantity)), 6) AS norm, round(sum(l_quantity * l_tax) / sum(l_quantity), 13) AS center FROM lineitem GROUP BY 1")
 def _sums(spark, d):
     q, x, t = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
-    return table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").cast("string").alias("day")).agg(F.round(F.sum(q), 4).alias("s"), F.round(F.sum(F.abs(q - 25)), 4).alias("sumabs"), F.round(F.avg(q), 8).alias("mean"), F.max(F.abs(q - 25)).alias("maxabs"), F.min(q).alias("least"), F.round(F.sum(q * x), 6).alias("dot"), F.round(F.sum(t * q * x), 8).alias("inner_product"), F.round(F.sqrt(F.sum(q * q)), 6).alias("norm"), F.round(F.sum(q * t) / F.sum(q), 10).alias("center"))
+    return table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").cast("string").alias("day")).agg(F.round(F.sum(q), 4).alias("s"), F.round(F.sum(F.abs(q - 25)), 4).alias("sumabs"), F.round(F.avg(q), 8).alias("mean"), F.max(F.abs(q - 25)).alias("maxabs"), F.min(q).alias("least"), F.round(F.sum(q * x), 6).alias("dot"), F.round(F.sum(t * q * x), 8).alias("inner_product"), F.round(F.sqrt(F.sum(q * q)), 6).alias("norm"), F.round(F.sum(q * t) / F.sum(q), 13).alias("center"))
 
 
 @query("p3_in_range", "SELECT p_partkey, p_retailprice BETWEEN 100 AND 900 AS inside FROM part WHERE p_size BETWEEN 10 AND 20")
