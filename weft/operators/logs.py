@@ -183,3 +183,18 @@ def imbalanced(spark, d):
 def blame(spark, d):
     w = W.partitionBy("event_type").orderBy("ts", "event_id")
     return _events(spark, d).select(F.col("user_id").alias("suffered"), F.lag("user_id").over(w).alias("blamed")).where("blamed is not null").groupBy("suffered", "blamed").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("w10_truncated_mean", f"SELECT user_id, round(avg(value), 9) AS mean FROM (SELECT user_id, value FROM events {_USER} QUALIFY row_number() OVER w > 2) GROUP BY 1")
+def truncated_mean(spark, d):
+    """The mean of each worker's rows after its first two."""
+    e = _events(spark, d).withColumn("i", F.row_number().over(_user())).where("i > 2")
+    return e.groupBy("user_id").agg(F.round(F.avg("value"), 9).alias("mean"))
+
+
+@query("j19_link_lookup", "SELECT c_custkey, s_suppkey, n.n_regionkey AS link FROM customer JOIN nation n ON n.n_nationkey = c_nationkey JOIN supplier ON s_nationkey = c_nationkey WHERE c_custkey % 10 = 0")
+def link_lookup(spark, d):
+    """Both ends of a link looked up by where they are."""
+    c, n, s = (table(spark, d, t) for t in ("customer", "nation", "supplier"))
+    ends = c.where("c_custkey % 10 = 0").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(s, F.col("c_nationkey") == F.col("s_nationkey"))
+    return ends.select("c_custkey", "s_suppkey", F.col("n_regionkey").alias("link"))
