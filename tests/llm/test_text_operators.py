@@ -302,3 +302,14 @@ def test_certified_levels_follow_the_exact_bound(spark):
             limit = j
         assert got[s] == limit
     assert (got["a"], got["b"], got["c"]) == (8, 0, 0)
+
+
+def test_models_are_learnt_from_a_bounded_number_of_rows(spark):
+    """A third of all rows with one id count as one document; the sample still has as many others as it may."""
+    rows = [(i, "der hund und die katze" if i % 2 else "the dog and the cat", "de" if i % 2 else "en") for i in range(60)]
+    many = spark.createDataFrame(rows + [(7, f"noch ein hund {k}", "de") for k in range(30)], "doc_id long, text string, lang string")
+    model = fit_language(many, sample=20)
+    assert model.langs == ["de", "en"] and {r.lang_pred for r in language_id(many.where("doc_id = 7"), model).collect()} == {"de"}
+    positives = many.where("lang = 'en'").select("doc_id")
+    got = quality_classifier(many, fit_quality(many, positives, n_positive=10, n_unlabelled=10)).collect()
+    assert len(got) == 90 and all(0 <= r.score <= 1 for r in got)

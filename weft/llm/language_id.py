@@ -128,20 +128,20 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model learnt from rows whose lang is not null.
 
-    Frequencies cover all of them; weights at most `sample`. Without a row that has a letter the model
+    Frequencies cover all of them; weights at most `sample` ids, of each the least row. Without a row that has a letter the model
     knows no language.
     """
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     frequency, n = document_frequencies(rows, "text")
-    # the sample is found by ids alone, so that the sort carries no texts
-    first = rows.select("id", F.xxhash64("id", F.lit(1)).alias("h")).where("id is not null").orderBy("h", "id").limit(sample).select("id").distinct()
+    # the sample is found by ids alone, so that the sort carries no texts; an id counts once, however often it repeats
+    first = rows.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(i, lang, *found) for i, lang, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(_counts, batch.column(2).to_pylist())) if found]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2].astype(np.uint16).tobytes() for x in out], pa.binary()), pa.array([x[3].astype(np.uint32).tobytes() for x in out], pa.binary())], ["id", "lang", "at", "n"])
 
-    got = rows.join(F.broadcast(first), "id", "left_semi").mapInArrow(run, "id string, lang string, at binary, n binary").orderBy("id").toPandas()
+    got = rows.join(F.broadcast(first), "id", "left_semi").mapInArrow(run, "id string, lang string, at binary, n binary").groupBy("id").agg(F.min(F.struct("lang", "at", "n")).alias("row")).select("id", "row.*").orderBy("id").toPandas()
     idf = np.log((1 + n) / (1 + frequency)) + 1
     langs = sorted(set(got["lang"]))
     every = [(at := np.frombuffer(a, dtype=np.uint16).astype(np.int64), _vector(at, np.frombuffer(c, dtype=np.uint32), idf), langs.index(y)) for a, c, y in zip(got["at"], got["n"], got["lang"])]

@@ -121,7 +121,8 @@ def fit(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col:
     marked = ids.join(positives.toDF("id").distinct().withColumn("positive", F.lit(True)), "id", "left").withColumn("positive", F.coalesce("positive", F.lit(False))).withColumn("h", F.xxhash64("id", F.lit(9)))
     first = marked.where("positive").orderBy("h", "id").limit(n_positive).unionByName(marked.where("not positive").orderBy("h", "id").limit(n_unlabelled))
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(first.select("id", "positive")), "id")
-    got = _features(sample).toPandas()
+    # an id is learnt from once, however often it repeats
+    got = _features(sample.groupBy("id", "positive").agg(F.min("text").alias("text"))).toPandas()
     x = np.frombuffer(b"".join(got["x"]), dtype=np.float32).reshape(-1, FEATURES)
     positive = got["positive"].to_numpy(dtype=bool)
     # an order of its own, whatever that of the tasks was

@@ -129,8 +129,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """One row per row of docs: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, severity.
 
     labels: doc_id, quality (1: good); a document with several rows is good if all that are not null say
-    1. Without labels, or in an unlabelled stratum, only the base rules reject. A null stratum is one of
-    its own. Null and empty texts have no words and fail the base rules. Repeated rows get the same
+    1. Without labels, or in an unlabelled stratum, only the base rules reject. A null stratum counts as
+    the empty one. Null and empty texts have no words and fail the base rules. Repeated rows get the same
     verdict, an empty table no rows, and other columns are ignored.
     """
     stats = settle(text_statistics(docs, id_col, text_col, stratum_col))
