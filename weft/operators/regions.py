@@ -39,10 +39,11 @@ def relation(kind: str) -> Column:
 
 
 def _boxes(spark, d):
-    return table(spark, d, "part").where("p_partkey <= 1500").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 200).alias("x"), (F.col("p_partkey") * 91 % 170).alias("y"), (1 + F.col("p_size") % 5).cast("long").alias("dx"), (1 + F.col("p_size") % 7).cast("long").alias("dy"))
+    """A box for each part, 1500 of them to a strip of 200 columns, so that boxes stay as dense however many there are."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("p_partkey * 37 % 200 + 200 * (p_partkey div 1500)").alias("x"), (F.col("p_partkey") * 91 % 170).alias("y"), (1 + F.col("p_size") % 5).cast("long").alias("dx"), (1 + F.col("p_size") % 7).cast("long").alias("dy"))
 
 
-_BOXES = "p AS (SELECT p_partkey AS id, p_partkey * 37 % 200 AS x, p_partkey * 91 % 170 AS y, (1 + p_size % 5)::BIGINT AS dx, (1 + p_size % 7)::BIGINT AS dy FROM part WHERE p_partkey <= 1500)"
+_BOXES = "p AS (SELECT p_partkey AS id, p_partkey * 37 % 200 + 200 * (p_partkey // 1500) AS x, p_partkey * 91 % 170 AS y, (1 + p_size % 5)::BIGINT AS dx, (1 + p_size % 7)::BIGINT AS dy FROM part)"
 _MEET = "a.x < b.x + b.dx AND b.x < a.x + a.dx AND a.y < b.y + b.dy AND b.y < a.y + a.dy"
 
 
@@ -68,15 +69,15 @@ def cells(box: DataFrame) -> DataFrame:
 _CELLS = "SELECT DISTINCT i, unnest(range(y, y + dy)) AS j FROM (SELECT unnest(range(x, x + dx)) AS i, y, dy FROM p WHERE {})"
 
 
-@query("u4_union_cells", f"WITH {_BOXES} {_CELLS.format('id % 2 = 0')}")
+@query("u4_union_cells", f"WITH {_BOXES} {_CELLS.format('true')}")
 def _union(spark, d):
-    return cells(_boxes(spark, d).where("id % 2 = 0")).distinct()
+    return cells(_boxes(spark, d)).distinct()
 
 
-@query("u5_difference_cells", f"WITH {_BOXES} {_CELLS.format('id % 2 = 0')} EXCEPT {_CELLS.format('id % 2 = 1')}")
+@query("u5_difference_cells", f"WITH {_BOXES} {_CELLS.format('dx > dy')} EXCEPT {_CELLS.format('dx <= dy')}")
 def _difference(spark, d):
     b = _boxes(spark, d)
-    return cells(b.where("id % 2 = 0")).distinct().join(cells(b.where("id % 2 = 1")), ["i", "j"], "left_anti")
+    return cells(b.where("dx > dy")).distinct().join(cells(b.where("dx <= dy")), ["i", "j"], "left_anti")
 
 
 @query("f40_region_distance", f"WITH {_BOXES} SELECT id, greatest(0, x - 110, 100 - (x + dx)) + greatest(0, y - 90, 80 - (y + dy)) AS distance FROM p")

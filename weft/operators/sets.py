@@ -24,12 +24,13 @@ def version_as_of(writes: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 def _keys(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).where("id % 2 = 0")
-    i = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id")).where("id % 3 = 0")
+    """All orders, and the orders of returned lines."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    i = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
     return o, i
 
 
-_A, _B = "SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0", "SELECT l_orderkey AS id FROM lineitem WHERE l_orderkey % 3 = 0"
+_A, _B = "SELECT o_orderkey AS id FROM orders", "SELECT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R'"
 
 
 @query("u1_union", f"{_A} UNION {_B}")
@@ -65,10 +66,10 @@ def _semi(spark, d):
 _SEQ = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
 
 
-@query("s20_batch_apply", f"WITH b AS (SELECT l_orderkey AS key, l_quantity AS value, l_returnflag AS flag FROM lineitem WHERE l_orderkey % 5 = 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(c + ' DESC' for c in _SEQ)}) = 1) SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey NOT IN (SELECT key FROM b) UNION ALL SELECT key, value FROM b WHERE flag <> 'A'")
+@query("s20_batch_apply", f"WITH b AS (SELECT l_orderkey AS key, l_quantity AS value, l_returnflag AS flag FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(c + ' DESC' for c in _SEQ)}) = 1) SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey NOT IN (SELECT key FROM b) UNION ALL SELECT key, value FROM b WHERE flag <> 'A'")
 def _batch(spark, d):
     base = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
-    batch = table(spark, d, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("key"), F.struct(*_SEQ).alias("seq"), F.when(F.col("l_returnflag") != "A", F.col("l_quantity")).alias("value"))
+    batch = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.struct(*_SEQ).alias("seq"), F.when(F.col("l_returnflag") != "A", F.col("l_quantity")).alias("value"))
     return merge_latest(base, batch)
 
 
