@@ -1,7 +1,11 @@
+from pyspark.sql import functions as F
+
 import __spark_entry__
 from weft.functions.scalars import escape, unescape
-from weft.operators import graph, learning, regions, sets
+from weft.functions import numeric
+from weft.operators import graph, grids, learning, regions, sets, spatial
 from weft.sources import files
+from weft.streaming.windows import windowed
 
 
 def test_entry_has_sql_only_for_queries():
@@ -67,3 +71,64 @@ def test_sources(spark, tmp_path):
     store = files.Store(spark, str(tmp_path / "kv"))
     handle = store.put(spark.createDataFrame([("k1", "v1"), ("k2", "v2"), ("k3", "v3")], "key string, value string"), 3)
     assert store.load(handle).count() == 3 and store.get(3, "k2").first()["value"] == "v2" and store.get(3, "k1", "k3").count() == 2
+
+
+def test_difference_pieces_are_disjoint_and_whole(spark):
+    boxes = [(i, i * 7 % 23, i * 5 % 19, 1 + i % 9, 1 + i % 4) for i in range(40)]
+    df = spark.createDataFrame(boxes, "id long, x long, y long, dx long, dy long")
+    cells = lambda b: {(i, j) for i in range(b[1], b[1] + b[3]) for j in range(b[2], b[2] + b[4])}
+    gone = set().union(*(cells(b) for b in boxes if b[0] % 3 == 0))
+    got = [tuple(r) for r in regions.difference(df, df.where("id % 3 = 0"), 4).collect()]
+    for b in boxes:
+        mine = [c for p in got if p[0] == b[0] for c in cells(p)]
+        assert len(mine) == len(set(mine)) and set(mine) == cells(b) - gone
+    assert regions.difference(df, df.limit(0)).count() == 40 and regions.difference(df.limit(0), df).count() == 0
+
+
+def test_dependencies_by_reverse_scan(spark):
+    jobs = {1: ({1, 2}, {3}), 2: ({3}, {1}), 3: ({1, 3}, set()), 4: ({2}, {1, 3}), 5: ({1}, {1}), 6: (set(), {1, 2, 3})}
+    want = set()
+    for j, (reads, writes) in jobs.items():
+        reads, writes = set(reads), set(writes)
+        for k in sorted((k for k in jobs if k < j), reverse=True):
+            hit = reads & jobs[k][1] or writes & jobs[k][1]
+            reads, writes = reads - jobs[k][1], writes - jobs[k][1]
+            if hit or writes & jobs[k][0]:
+                want.add((j, k))
+    rows = [(j, c, c in r, c in w) for j, (r, w) in jobs.items() for c in r | w]
+    got = sets.dependencies(spark.createDataFrame(rows, "job long, cell long, reads boolean, writes boolean")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_conjugate_residual_of_an_indefinite_system(spark):
+    values = [4.0, -3.0, 2.0, -5.0, 1.0]
+    a = spark.createDataFrame([(i, j, values[i] if i == j else 0.5) for i in range(5) for j in range(5) if abs(i - j) < 2], "row long, col long, value double")
+    b = spark.createDataFrame([(i, float(i + 1)) for i in range(5)], "idx long, value double")
+    got = {r["idx"]: r["value"] for r in learning.conjugate_residual(a, b).collect()}
+    for i in range(5):
+        assert abs(sum((values[i] if i == j else 0.5) * got[j] for j in range(5) if abs(i - j) < 2) - i - 1) < 1e-8
+
+
+def test_a_stream_of_events_gives_the_windows_of_the_table(spark, tmp_path):
+    events = [(f"2024-01-01 0{h}:{m:02}:00", "a" if m % 2 else "b", float(m)) for h in range(5) for m in range(0, 60, 7)]
+    df = spark.createDataFrame(events, "ts string, kind string, value double").selectExpr("ts::timestamp AS ts", "kind", "value")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = windowed(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "ts", ["kind"], "value", "1 hour", "10 minutes")
+    run = stream.writeStream.format("memory").queryName("hours").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    got = sorted(map(tuple, spark.table("hours").collect()))
+    want = sorted(map(tuple, windowed(df, "ts", ["kind"], "value", "1 hour", "10 minutes").collect()))
+    assert got and got == [w for w in want if w[0].hour < 4]  # the last window is still open
+
+
+def test_numbers_and_points(spark):
+    u = [r[0] for r in spark.range(2000).select(numeric.uniform(F.col("id"), 3)).collect()]
+    assert 0 <= min(u) and max(u) < 1 and abs(sum(u) / 2000 - 0.5) < 0.03
+    df = spark.createDataFrame([(1.0, -3.0, 2.0), (0.0, 2.0, -4.0), (1.0, 0.0, 1.0), (1.0, 0.0, 0.0), (1.0, -2.0, 1.0), (0.0, 0.0, 5.0)], "a double, b double, c double")
+    assert [r[0] for r in df.select(numeric.quadratic_roots(df.a, df.b, df.c)).collect()] == [[1, 2], [2], [], [0], [1], []]
+    waves = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, []), (3, None)], "id long, v array<double>")
+    assert [(r.id, r.k, r.re, r.im) for r in numeric.fourier(waves, "id", "v").collect()] == [(1, k, 1.0, 0.0) for k in range(3)]
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, -0.5, 0.5), (3, 9.0, 9.0)], "id long, x double, y double")
+    assert sorted((r.a, r.b) for r in spatial.near_pairs(points, points, 1.0).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
+    grid = spark.createDataFrame([(0, 0, 2.0, 1.0, 0.0), (1, 0, 4.0, 0.5, 0.0)], "i long, j long, value double, u double, v double")
+    assert {(r.i, r.value) for r in grids.advect(grid, 1.0).collect()} == {(0, 0.0), (1, 3.0)}

@@ -110,6 +110,38 @@ def _cg(spark, d):
     return conjugate_gradient(a, n.select(F.col("row").alias("idx"), F.lit(1.0).alias("value"))).withColumn("value", F.round("value", 6))
 
 
+def conjugate_residual(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-10, limit: int = 100) -> DataFrame:
+    """(idx, value) with matrix * value = b, for a symmetric matrix that need not be positive.
+
+    Vectors stay distributed; each round is one sparse product and brings two sums and a maximum to the driver.
+    """
+
+    def product(state: DataFrame) -> DataFrame:
+        t = spmv(matrix, state.select("idx", F.col("r").alias("value"))).withColumnRenamed("value", "ar")
+        return state.join(t, "idx", "left").withColumn("ar", F.coalesce("ar", F.lit(0.0)))
+
+    start = b.select("idx", F.lit(0.0).alias("x"), F.col("value").alias("r"), F.lit(0.0).alias("p"), F.lit(0.0).alias("ap"))
+    state, before = settle(product(start)), None
+    for _ in range(limit):
+        worst, now = state.agg(F.max(F.abs("r")), F.sum(F.col("r") * F.col("ar"))).first()
+        if worst is None or worst <= tolerance or now == 0.0:
+            break
+        beta = now / before if before else 0.0
+        state = settle(state.withColumns({"p": F.col("r") + beta * F.col("p"), "ap": F.col("ar") + beta * F.col("ap")}))
+        alpha = now / state.agg(F.sum(F.col("ap") * F.col("ap"))).first()[0]
+        state = settle(product(state.select("idx", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p", "ap")))
+        before = now
+    return state.select("idx", F.col("x").alias("value"))
+
+
+@query("m5_conjugate_residual", "SELECT n_nationkey::BIGINT AS idx, round(((n_nationkey + 1) * (25 - n_nationkey) / 2.0)::DOUBLE, 6) AS value FROM nation")
+def _cr(spark, d):
+    """The tridiagonal system (-1, 2, -1) of 25 unknowns with ones at the right."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("row"))
+    a = n.select("row", F.explode(F.expr("filter(array(row - 1, row, row + 1), x -> x between 0 and 24)")).alias("col")).withColumn("value", F.when(F.col("row") == F.col("col"), 2.0).otherwise(-1.0))
+    return conjugate_residual(a, n.select(F.col("row").alias("idx"), F.lit(1.0).alias("value"))).withColumn("value", F.round("value", 6))
+
+
 def heat(grid: DataFrame, n: int, steps: int, factor: float) -> DataFrame:
     """(i, j, k, value) after steps of the 7-point stencil inside a grid of n^3 cells; the border stays.
 

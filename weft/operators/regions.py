@@ -80,6 +80,38 @@ def _difference(spark, d):
     return cells(b.where("dx > dy")).distinct().join(cells(b.where("dx <= dy")), ["i", "j"], "left_anti")
 
 
+def difference(boxes: DataFrame, remove: DataFrame, size: int = 8) -> DataFrame:
+    """Disjoint pieces (id, x, y, dx, dy) that cover what is left of each box without all boxes of remove; none if nothing is left.
+
+    What a box loses is clipped to it and distinct first, so a row holds no more than the box has rectangles.
+    """
+    pairs = box_join(boxes, remove, "intersect", size)
+    a = boxes.select(F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in ("x", "y", "dx", "dy")))
+    b = remove.select(F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("x", "y", "dx", "dy")))
+    lost = pairs.join(a, "a").join(b, "b")
+    low = lambda c: F.greatest(f"a_{c}", f"b_{c}")
+    high = lambda c: F.least(F.col(f"a_{c}") + F.col(f"a_d{c}"), F.col(f"b_{c}") + F.col(f"b_d{c}"))
+    lost = lost.groupBy(F.col("a").alias("id")).agg(F.array_sort(F.collect_set(F.struct(low("x").alias("x0"), high("x").alias("x1"), low("y").alias("y0"), high("y").alias("y1")))).alias("lost"))
+
+    def box(x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+        return F.struct(x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
+
+    def cut(p: Column, r: Column) -> Column:
+        x0, x1, y0, y1 = F.greatest(p["x0"], r["x0"]), F.least(p["x1"], r["x1"]), F.greatest(p["y0"], r["y0"]), F.least(p["y1"], r["y1"])
+        sides = F.array(box(p["x0"], x0, p["y0"], p["y1"]), box(x1, p["x1"], p["y0"], p["y1"]), box(x0, x1, p["y0"], y0), box(x0, x1, y1, p["y1"]))
+        return F.when((x0 >= x1) | (y0 >= y1), F.array(box(p["x0"], p["x1"], p["y0"], p["y1"]))).otherwise(F.filter(sides, lambda s: (s["x0"] < s["x1"]) & (s["y0"] < s["y1"])))
+
+    whole = F.array(box(F.col("x"), F.col("x") + F.col("dx"), F.col("y"), F.col("y") + F.col("dy")))
+    left = boxes.join(lost, "id", "left").select("id", F.when(F.col("lost").isNull(), whole).otherwise(F.aggregate("lost", whole, lambda acc, r: F.flatten(F.transform(acc, lambda p: cut(p, r))))).alias("pieces"))
+    return left.select("id", F.inline("pieces")).select("id", F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("dx"), (F.col("y1") - F.col("y0")).alias("dy"))
+
+
+@query("u5_difference_boxes", f"WITH {_BOXES}, c AS (SELECT id, i, unnest(range(y, y + dy)) AS j FROM (SELECT id, unnest(range(x, x + dx)) AS i, y, dy FROM p WHERE dx > dy)) SELECT id, count(*) AS area FROM c WHERE (i, j) NOT IN ({_CELLS.format('dx <= dy')}) GROUP BY 1")
+def _difference_boxes(spark, d):
+    b = _boxes(spark, d)
+    return difference(b.where("dx > dy"), b.where("dx <= dy")).groupBy("id").agg(F.sum(F.col("dx") * F.col("dy")).alias("area"))
+
+
 @query("f40_region_distance", f"WITH {_BOXES} SELECT id, greatest(0, x - 110, 100 - (x + dx)) + greatest(0, y - 90, 80 - (y + dy)) AS distance FROM p")
 def _distance(spark, d):
     return _boxes(spark, d).select("id", F.expr("greatest(0, x - 110, 100 - (x + dx)) + greatest(0, y - 90, 80 - (y + dy))").alias("distance"))

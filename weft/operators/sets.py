@@ -86,6 +86,29 @@ def _as_of(spark, d):
     return version_as_of(writes, reads).select(F.col("at").alias("event_id"), "version")
 
 
+def dependencies(accesses: DataFrame) -> DataFrame:
+    """(job, needs): which earlier jobs each job waits for, from accesses (job, cell, reads, writes); jobs run in the order of their ids.
+
+    A job that reads or writes a cell needs the last writer before it, and one that writes it also the
+    readers since that writer. Each read has one next writer at most, so two windows by cell find all,
+    with no more rows than accesses, twice. One row per job and cell is made first.
+    """
+    one = accesses.groupBy("job", "cell").agg(F.max("reads").alias("reads"), F.max("writes").alias("writes"))
+    by = W.partitionBy("cell").orderBy("job")
+    writer = F.when(F.col("writes"), F.col("job"))
+    seen = one.withColumns({"last": F.max(writer).over(by.rowsBetween(W.unboundedPreceding, -1)), "next": F.first(writer, ignorenulls=True).over(by.rowsBetween(1, W.unboundedFollowing))})
+    after = seen.where("last is not null").select("job", F.col("last").alias("needs"))
+    before = seen.where("reads and next is not null").select(F.col("next").alias("job"), F.col("job").alias("needs"))
+    return after.unionByName(before).distinct()
+
+
+@query("j9_dependencies", "WITH e AS (SELECT event_id, user_id, event_type = 'purchase' AS w, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id) - (event_type = 'purchase')::INT AS epoch FROM events) SELECT a.event_id AS job, b.event_id AS needs FROM e a JOIN e b ON a.user_id = b.user_id AND b.event_id < a.event_id AND (a.w OR b.w) AND a.epoch - b.epoch = b.w::INT")
+def _dependencies(spark, d):
+    """Events as jobs on the cell of their user; purchases write, all others read."""
+    w = F.col("event_type") == "purchase"
+    return dependencies(table(spark, d, "events").select(F.col("event_id").alias("job"), F.col("user_id").alias("cell"), (~w).alias("reads"), w.alias("writes")))
+
+
 @query("o1_sort_ranks", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey)::INT AS place FROM orders QUALIFY place <= 3")
 def _top(spark, d):
     w = W.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
