@@ -1,11 +1,12 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from weft.functions.scalars import escape, unescape
 from weft.functions import numeric
-from weft.operators import graph, grids, learning, regions, sets, spatial
+from weft.operators import graph, grids, krylov, learning, regions, sets, simulation, spatial
 from weft.sources import files
-from weft.streaming.windows import windowed
+from weft.streaming.windows import first_seen, windowed
 
 
 def test_entry_has_sql_only_for_queries():
@@ -132,3 +133,91 @@ def test_numbers_and_points(spark):
     assert sorted((r.a, r.b) for r in spatial.near_pairs(points, points, 1.0).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
     grid = spark.createDataFrame([(0, 0, 2.0, 1.0, 0.0), (1, 0, 4.0, 0.5, 0.0)], "i long, j long, value double, u double, v double")
     assert {(r.i, r.value) for r in grids.advect(grid, 1.0).collect()} == {(0, 0.0), (1, 3.0)}
+
+
+def _system(spark, values, beside):
+    n = len(values)
+    rows = [(i, j, values[i] if i == j else beside) for i in range(n) for j in range(n) if abs(i - j) < 2]
+    dense = np.zeros((n, n))
+    for i, j, v in rows:
+        dense[i, j] = v
+    return spark.createDataFrame(rows, "row long, col long, value double"), dense
+
+
+def test_qmr_and_lanczos_against_dense_algebra(spark):
+    a, dense = _system(spark, [4.0, -3.0, 2.0, -5.0, 1.0], 0.5)
+    b = spark.createDataFrame([(i, float(i + 1)) for i in range(5)], "idx long, value double")
+    got = {r["idx"]: r["value"] for r in krylov.symmetric_qmr(a, b).collect()}
+    assert np.allclose([got[i] for i in range(5)], np.linalg.solve(dense, np.arange(1.0, 6.0)), atol=1e-8)
+    t = krylov.lanczos(a, b, 5)
+    form = np.diag([x for x, _ in t]) + np.diag([y for _, y in t[:-1]], 1) + np.diag([y for _, y in t[:-1]], -1)
+    assert np.allclose(np.linalg.eigvalsh(form), np.linalg.eigvalsh(dense), atol=1e-6)
+    zero = b.withColumn("value", F.lit(0.0))
+    assert krylov.lanczos(a, zero, 3) == [] and {r["value"] for r in krylov.symmetric_qmr(a, zero).collect()} == {0.0}
+
+
+def test_projection_leaves_no_flow_and_takes_a_gradient(spark):
+    cells = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (5, 5)], "i long, j long")
+    faces = spark.createDataFrame([(0, 0, 0, 2.0), (1, 0, 1, -3.0), (0, 5, 5, 4.0), (0, 9, 9, 7.0)], "axis int, i long, j long, value double")
+    out = simulation.project(faces, cells)
+    assert all(abs(r["value"]) < 1e-8 for r in simulation.divergence(out, cells).collect())
+    got = {(r["axis"], r["i"], r["j"]): r["value"] for r in out.collect()}
+    assert got[0, 9, 9] == 7.0  # no cell beside it
+    assert abs(got[0, 5, 5] - 3.0) < 1e-8 and all(abs(got[k] + 1.0) < 1e-8 or abs(got[k] - 1.0) < 1e-8 for k in ((0, 6, 5), (1, 5, 5), (1, 5, 6)))
+
+
+def test_distance_extrapolation_and_particles_on_small_grids(spark):
+    line = spark.createDataFrame([(i, 0, 1.0 if i > 3 else -1.0) for i in range(8)], "i long, j long, value double")
+    got = {r["i"]: r["distance"] for r in simulation.signed_distance(line, 2).collect()}
+    assert got == {0: None, 1: -2.5, 2: -1.5, 3: -0.5, 4: 0.5, 5: 1.5, 6: 2.5, 7: None}
+    known = spark.createDataFrame([(0, 0, 2.0), (1, 0, None), (2, 0, None), (3, 0, None)], "i long, j long, value double")
+    assert {r["i"]: r["value"] for r in simulation.extrapolate(known, 2).collect()} == {0: 2.0, 1: 2.0, 2: 2.0, 3: None}
+    grid = spark.createDataFrame([(0, 0, 1.0, 0.0), (1, 0, 0.0, -2.0)], "i long, j long, u double, v double")
+    assert simulation.time_step(grid) == 0.25 and simulation.time_step(grid.limit(0)) is None
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 0.5), (3, 7.0, 7.0)], "id long, x double, y double")
+    assert [tuple(r) for r in simulation.step_particles(points, grid, 1.0).collect()] == [(1, 1.5, 0.5)]
+
+
+def test_axis_clusters_partitions_and_local_grids(spark):
+    spans = [(i, i * 37 % 101, i * 37 % 101 + 1 + i % 3) for i in range(40)]
+    want, end = {}, None
+    for k, low, high in sorted(spans, key=lambda s: (s[1], s[0])):
+        if end is None or low >= end:
+            start = low
+        want[k], end = start, max(end or high, high)
+    for width in (1, 7, 1000):
+        got = spatial.axis_clusters(spark.createDataFrame(spans, "id long, low long, high long"), width)
+        assert {r["id"]: r["cluster"] for r in got.collect()} == want
+    a, _ = _system(spark, [1.0] * 6, 1.0)
+    got = spatial.matrix_partition(a, 3).collect()
+    assert {(r["part"], r["kind"], r["idx"], r["local"]) for r in got} == {(0, 0, 0, 0), (0, 0, 1, 1), (0, 1, 2, 2), (0, 2, 3, 3), (1, 0, 4, 0), (1, 0, 5, 1), (1, 1, 3, 2), (1, 2, 2, 3)}
+    grid = spark.createDataFrame([(i, j, float(i * j)) for i in range(4) for j in range(4)], "i long, j long, value double")
+    block = spatial.local_grid(grid, (1, 1), (3, 3))
+    assert {(r["i"], r["j"]) for r in block.collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    again = spatial.put_local(grid, block.withColumn("value", F.col("value") + 2), (1, 1))
+    assert again.count() == 16 and spatial.max_error(grid, again).first()[0] == 2.0
+    assert spatial.max_error(grid, grid.limit(0)).first()[0] is None
+
+
+def test_points_of_low_discrepancy_and_densities(spark):
+    rows = spark.range(64).select(*(numeric.sobol(F.col("id"), k).alias(f"x{k}") for k in range(6))).collect()
+    assert [r["x0"] for r in rows[:4]] == [0.0, 0.5, 0.25, 0.75]
+    for k in range(6):
+        assert sorted(int(r[k] * 64) for r in rows) == list(range(64))  # one in each cell
+    assert len({(int(r[0] * 8), int(r[1] * 8)) for r in rows}) == 64
+    u = spark.range(100).select((F.col("id") / 100).alias("u"))
+    got = [r[0] for r in u.select(numeric.piecewise_density(F.col("u"), [0.0, 1.0, 2.0, 4.0], [1.0, 0.0, 3.0])).collect()]
+    assert sum(v < 1 for v in got) == 25 and not any(1 < v < 2 for v in got) and max(got) < 4
+    cube = spark.createDataFrame([(1, [float(k * k % 11) for k in range(24)])], "id long, v array<double>")
+    want = np.fft.fftn(np.array([float(k * k % 11) for k in range(24)]).reshape(2, 3, 4)).ravel()
+    got = sorted((r.k, r.re, r.im) for r in numeric.fourier(cube, "id", "v", (2, 3, 4)).collect())
+    assert np.allclose([complex(x, y) for _, x, y in got], want)
+
+
+def test_a_stream_gives_each_repeated_event_once(spark, tmp_path):
+    df = spark.createDataFrame([(f"2024-01-01 00:0{m}:00", m % 3) for m in range(9)], "ts string, kind int").selectExpr("ts::timestamp AS ts", "kind")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = first_seen(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "ts", ["kind"], "1 hour")
+    run = stream.writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    assert sorted(r["kind"] for r in spark.table("firsts").collect()) == [0, 1, 2] == sorted(r["kind"] for r in first_seen(df, "ts", ["kind"], "1 hour").collect())

@@ -6,7 +6,7 @@ import importlib
 
 from weft.registry import QUERIES, SQL
 
-MODULES = ("operators.graph", "operators.logs", "operators.sets", "operators.regions", "operators.learning", "operators.grids", "operators.spatial", "functions.scalars", "functions.numeric", "sources.files", "streaming.windows")
+MODULES = ("operators.graph", "operators.logs", "operators.sets", "operators.regions", "operators.learning", "operators.krylov", "operators.grids", "operators.simulation", "operators.spatial", "functions.scalars", "functions.numeric", "sources.files", "streaming.windows")
 for _name in MODULES:
     importlib.import_module(f"weft.{_name}")
 

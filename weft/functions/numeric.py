@@ -37,20 +37,62 @@ def newton_value(x: list[float], coefficients: list[Column], at: float) -> Colum
     return value
 
 
-def fourier(rows: DataFrame, id_col: str, array_col: str) -> DataFrame:
-    """(id, k, re, im): the discrete Fourier transform of each row's array, of any length; none of an empty or null one."""
+def fourier(rows: DataFrame, id_col: str, array_col: str, shape: tuple[int, ...] | None = None) -> DataFrame:
+    """(id, k, re, im): the discrete Fourier transform of each row's array, of any length; none of an empty or null one.
+
+    With a shape the array is one of more dimensions, the last running fastest, and so is k. An array of
+    another size than the shape's is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, values in zip(batch.column(0), batch.column(1).to_pylist()):
                 if values:
-                    z = np.fft.fft(np.array(values, dtype=np.float64))
+                    z = np.fft.fftn(np.array(values, dtype=np.float64).reshape(shape or -1)).ravel()
                     yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(z), batch.column(0).type), pa.array(np.arange(len(z)), pa.int32()), pa.array(z.real), pa.array(z.imag)], ["id", "k", "re", "im"])
 
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.select(id_col, F.col(array_col).cast("array<double>")).mapInArrow(run, f"id {kind}, k int, re double, im double").withColumnRenamed("id", id_col)
 
 
+#: Per dimension after the first the degree, inner coefficients and first numbers of its primitive polynomial.
+SOBOL = ((1, 0, (1,)), (2, 1, (1, 3)), (3, 1, (1, 3, 1)), (3, 2, (1, 1, 1)), (4, 1, (1, 1, 3, 3)))
+_BITS = 32
+
+
+def sobol_directions(dimension: int) -> list[int]:
+    """The numbers, of 32 bits, whose exclusive or by the bits of n is the n-th point's place along a dimension, from 0."""
+    if dimension == 0:
+        return [1 << (_BITS - k) for k in range(1, _BITS + 1)]
+    degree, inner, first = SOBOL[dimension - 1]
+    out = [m << (_BITS - k) for k, m in enumerate(first, 1)]
+    while len(out) < _BITS:
+        v = out[-degree] ^ (out[-degree] >> degree)
+        for i in range(1, degree):
+            v ^= out[-i] * (inner >> (degree - 1 - i) & 1)
+        out.append(v)
+    return out
+
+
+def sobol(n: Column, dimension: int) -> Column:
+    """The n-th Sobol point's place along a dimension, in [0, 1); n below 2^32."""
+    v = F.array(*map(F.lit, sobol_directions(dimension))).cast("array<bigint>")
+    bits = F.aggregate(F.sequence(F.lit(0), F.lit(_BITS - 1)), F.lit(0).cast("long"), lambda a, i: a.bitwiseXOR(F.get(v, i) * F.getbit(n.cast("long"), i)))
+    return bits.cast("double") / float(1 << _BITS)
+
+
+def piecewise_density(u: Column, edges: list[float], weights: list[float]) -> Column:
+    """The place of u from [0, 1) under a density that is constant, by weight, between ascending edges."""
+    total, below, out = float(sum(weights)), 0.0, F.lit(float(edges[-1]))
+    pieces = []
+    for lo, hi, w in zip(edges, edges[1:], weights):
+        pieces.append((below, lo, hi, w / total))
+        below += w / total
+    for below, lo, hi, share in reversed([p for p in pieces if p[3] > 0]):
+        out = F.when(u < below + share, lo + (u - below) / share * (hi - lo)).otherwise(out)
+    return out
+
+
 def uniform(key: Column, seed: int) -> Column:
     """A number in [0, 1) that is a function of key and seed alone, so that a task run again draws the same."""
     digest = F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")).cast("binary"))
@@ -81,3 +123,24 @@ def _fourier(spark, d):
 @query("f34_uniform", "SELECT o_orderkey, ('0x' || md5(o_orderkey::VARCHAR || ':7')[1:13])::BIGINT / 4503599627370496.0::DOUBLE AS u FROM orders")
 def _uniform(spark, d):
     return table(spark, d, "orders").select("o_orderkey", uniform(F.col("o_orderkey"), 7).alias("u"))
+
+
+@query("f36_fourier_2d", "SELECT vec_id, k::INT AS k, round(sum(e[n + 1] * cos(2 * pi() * (((k // 8) * (n // 8) + (k % 8) * (n % 8)) % 8) / 8)), 5) + 0.0 AS re, round(sum(-e[n + 1] * sin(2 * pi() * (((k // 8) * (n // 8) + (k % 8) * (n % 8)) % 8) / 8)), 5) + 0.0 AS im FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), range(64) a(k), range(64) b(n) GROUP BY 1, 2")
+def _fourier_2d(spark, d):
+    out = fourier(table(spark, d, "embeddings"), "vec_id", "embedding", (8, 8))
+    return out.select("vec_id", "k", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("re", "im")))
+
+
+def _sobol_sql(dimension: int) -> str:
+    return f"list_reduce(list_transform(range(32), lambda i: ((o_orderkey >> i) & 1) * {sobol_directions(dimension)}[i + 1]), lambda a, b: xor(a, b)) / 4294967296.0::DOUBLE"
+
+
+@query("f34_sobol", f"SELECT o_orderkey, {_sobol_sql(0)} AS x, {_sobol_sql(1)} AS y, {_sobol_sql(2)} AS z FROM orders")
+def _sobol(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", *(sobol(F.col("o_orderkey"), k).alias(c) for k, c in enumerate("xyz")))
+
+
+@query("f34_piecewise", "SELECT o_orderkey, round(CASE WHEN u < 0.25 THEN u / 0.25 WHEN u < 0.75 THEN 1 + (u - 0.25) / 0.5 * 3 ELSE 4 + (u - 0.75) / 0.25 * 6 END, 6) AS value FROM (SELECT o_orderkey, ('0x' || md5(o_orderkey::VARCHAR || ':7')[1:13])::BIGINT / 4503599627370496.0::DOUBLE AS u FROM orders)")
+def _piecewise(spark, d):
+    value = piecewise_density(uniform(F.col("o_orderkey"), 7), [0.0, 1.0, 4.0, 10.0], [1.0, 2.0, 1.0])
+    return table(spark, d, "orders").select("o_orderkey", F.round(value, 6).alias("value"))

@@ -30,13 +30,13 @@ def stencil(grid: DataFrame, results: dict[str, dict[str, Weights]]) -> DataFram
     return got.where("own").drop("own")
 
 
-def advect(grid: DataFrame, dt: float) -> DataFrame:
-    """(i, j, value) of grid (i, j, value, u, v) after a semi-Lagrangian step: each cell takes the bilinear value at the place that flows to it."""
+def advect(grid: DataFrame, dt: float, columns: tuple[str, ...] = ("value",)) -> DataFrame:
+    """(i, j, columns...) of grid (i, j, u, v, columns...) after a semi-Lagrangian step: each cell takes the bilinear values at the place that flows to it."""
     x, y = F.col("i") - F.col("u") * dt, F.col("j") - F.col("v") * dt
     corners = F.array(*(F.struct((F.floor("x") + a).alias("fi"), (F.floor("y") + b).alias("fj"), ((F.col("x") - F.floor("x") if a else 1 - (F.col("x") - F.floor("x"))) * (F.col("y") - F.floor("y") if b else 1 - (F.col("y") - F.floor("y")))).alias("w")) for a in (0, 1) for b in (0, 1)))
     asked = grid.select("i", "j", x.alias("x"), y.alias("y")).select("i", "j", F.inline(corners))
-    source = grid.select(F.col("i").alias("fi"), F.col("j").alias("fj"), "value")
-    return asked.join(source, ["fi", "fj"], "left").groupBy("i", "j").agg(F.sum(F.col("w") * F.coalesce("value", F.lit(0.0))).alias("value"))
+    source = grid.select(F.col("i").alias("fi"), F.col("j").alias("fj"), *columns)
+    return asked.join(source, ["fi", "fj"], "left").groupBy("i", "j").agg(*(F.sum(F.col("w") * F.coalesce(c, F.lit(0.0))).alias(c) for c in columns))
 
 
 def in_box(low: list[float], high: list[float], at: list[str]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from weft.registry import query, table
 
@@ -30,6 +31,53 @@ def plane_side(low: list[str], high: list[str], normal: list[float], offset: flo
     return F.when(least > offset, 1).when(most < offset, -1).otherwise(0)
 
 
+def _running_max(df: DataFrame, chunk: str, order: list[str], value: str, out: str, end: int) -> DataFrame:
+    """df with the maximum of value over all rows up to `end` rows on from this one; chunks are summed up first, so that only their maxima meet in one task."""
+    most = df.groupBy(chunk).agg(F.max(value).alias("_most"))
+    most = most.select(chunk, F.max("_most").over(W.orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    within = F.max(value).over(W.partitionBy(chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, end))
+    return df.withColumn(out, within).join(most, chunk).withColumn(out, F.greatest(out, "_before")).drop("_before")
+
+
+def axis_clusters(spans: DataFrame, width: int) -> DataFrame:
+    """(id, cluster) of spans (id, low, high) along an axis: spans that overlap, through others too, have one cluster, the lowest place of any. Places are ordered in chunks of `width`."""
+    rows = spans.select("id", "low", "high", F.floor(F.col("low") / width).alias("chunk"))
+    rows = _running_max(rows, "chunk", ["low", "id"], "high", "_high", -1)
+    rows = rows.withColumn("_start", F.when(F.col("_high").isNull() | (F.col("low") >= F.col("_high")), F.col("low")))
+    return _running_max(rows, "chunk", ["low", "id"], "_start", "cluster", 0).select("id", "cluster")
+
+
+def matrix_partition(matrix: DataFrame, width: int) -> DataFrame:
+    """(part, kind, idx, local) for a sparse matrix (row, col) cut into parts of `width` consecutive indices.
+
+    kind 0: rows whose columns all lie in the part; 1: rows with a column elsewhere; 2: columns elsewhere
+    that the part's rows use. local numbers a part's indices, by kind and index.
+    """
+    part = lambda c: F.floor(F.col(c) / width)
+    rows = matrix.groupBy(part("row").alias("part"), F.col("row").alias("idx")).agg(F.max(part("col") != part("row")).cast("int").alias("kind"))
+    ghosts = matrix.where(part("col") != part("row")).select(part("row").alias("part"), F.col("col").alias("idx"), F.lit(2).alias("kind")).distinct()
+    local = F.row_number().over(W.partitionBy("part").orderBy("kind", "idx")) - 1
+    return rows.unionByName(ghosts).select("part", "kind", "idx", local.alias("local"))
+
+
+def local_grid(grid: DataFrame, low: tuple[int, int], high: tuple[int, int]) -> DataFrame:
+    """The cells (i, j, value) of grid from low to below high, numbered from low."""
+    inside = F.col("i").between(low[0], high[0] - 1) & F.col("j").between(low[1], high[1] - 1)
+    return grid.where(inside).select((F.col("i") - low[0]).alias("i"), (F.col("j") - low[1]).alias("j"), "value")
+
+
+def put_local(grid: DataFrame, local: DataFrame, low: tuple[int, int]) -> DataFrame:
+    """grid with the cells of a local grid in place of its own."""
+    placed = local.select((F.col("i") + low[0]).alias("i"), (F.col("j") + low[1]).alias("j"), "value")
+    return grid.join(placed.select("i", "j"), ["i", "j"], "left_anti").select("i", "j", "value").unionByName(placed)
+
+
+def max_error(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row, error: the largest difference of the cells that both grids have; null if none."""
+    both = a.join(b.select("i", "j", F.col("value").alias("other")), ["i", "j"])
+    return both.agg(F.max(F.abs(F.col("value") - F.col("other"))).alias("error"))
+
+
 def _points(spark, d):
     """A point for each part, 1500 to a strip."""
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("p_partkey * 37 % 200 + 200 * (p_partkey div 1500)").alias("x"), (F.col("p_partkey") * 91 % 170).alias("y"), "p_size")
@@ -56,3 +104,33 @@ def _spheres(spark, d):
 def _plane(spark, d):
     p = _points(spark, d).withColumns({"hx": F.col("x") + F.col("p_size"), "hy": F.col("y") + F.col("p_size")})
     return p.select("id", plane_side(["x", "y"], ["hx", "hy"], [1.0, -1.0], 10.0).alias("side"))
+
+
+def _axis_sql(axis: str) -> str:
+    return f"SELECT id, max(CASE WHEN h IS NULL OR low >= h THEN low END) OVER (ORDER BY low, id ROWS UNBOUNDED PRECEDING) AS {axis} FROM (SELECT id, {axis} AS low, max({axis} + p_size % 2 + 1) OVER (ORDER BY {axis}, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM q)"
+
+
+@query("v10_axis_clusters", f"WITH q AS (SELECT p_partkey AS id, p_partkey * 37 % 9973 AS x, p_partkey * 91 % 9967 AS y, p_size FROM part) SELECT id, a.x, b.y FROM ({_axis_sql('x')}) a JOIN ({_axis_sql('y')}) b USING (id)")
+def _axes(spark, d):
+    """Parts as boxes of one or two cells a side: those that share both clusters may meet."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 9973).alias("x"), (F.col("p_partkey") * 91 % 9967).alias("y"), (F.col("p_size") % 2 + 1).alias("side"))
+    x, y = (axis_clusters(p.select("id", F.col(a).alias("low"), (F.col(a) + F.col("side")).alias("high")), 1024).withColumnRenamed("cluster", a) for a in ("x", "y"))
+    return x.join(y, "id")
+
+
+_MATRIX = "m AS (SELECT c_custkey AS row, c_custkey AS col FROM customer UNION ALL SELECT c_custkey, c_custkey * c_custkey % 70 + c_custkey // 64 * 64 FROM customer)"
+
+
+@query("v12_matrix_partition", f"WITH {_MATRIX}, k AS (SELECT row // 64 AS part, row AS idx, max((col // 64 <> row // 64)::INT) AS kind FROM m GROUP BY 1, 2 UNION ALL SELECT DISTINCT row // 64, col, 2 FROM m WHERE col // 64 <> row // 64) SELECT part, kind, idx, row_number() OVER (PARTITION BY part ORDER BY kind, idx) - 1 AS local FROM k")
+def _matrix(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("row"), F.explode(F.array(F.col("c_custkey"), F.expr("c_custkey * c_custkey % 70 + c_custkey div 64 * 64"))).alias("col"))
+    return matrix_partition(c, 64)
+
+
+@query("v13_local_grid", "SELECT max(abs(p_size - p_retailprice))::DOUBLE AS error FROM part WHERE p_partkey // 64 BETWEEN 1 AND 2 AND p_partkey % 64 BETWEEN 8 AND 39")
+def _local(spark, d):
+    """A block of one grid put into another differs from it there alone."""
+    cell = [F.expr("p_partkey div 64").alias("i"), F.expr("p_partkey % 64").alias("j")]
+    a, b = (table(spark, d, "part").select(*cell, F.col(c).cast("double").alias("value")) for c in ("p_size", "p_retailprice"))
+    low, high = (1, 8), (3, 40)
+    return max_error(a, put_local(a, local_grid(b, low, high), low))
