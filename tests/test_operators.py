@@ -175,6 +175,11 @@ def test_distance_extrapolation_and_particles_on_small_grids(spark):
     grid = spark.createDataFrame([(0, 0, 1.0, 0.0), (1, 0, 0.0, -2.0)], "i long, j long, u double, v double")
     assert simulation.time_step(grid) == 0.25 and simulation.time_step(grid.limit(0)) is None
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 0.5), (3, 7.0, 7.0)], "id long, x double, y double")
+    still, steps = simulation.frame(grid.selectExpr("i", "j", "1D AS value", "0D AS u", "0D AS v"), 1.0)
+    assert steps == 1 and {r["value"] for r in still.collect()} == {1.0}
+    seeded = simulation.reseed_particles(points, grid, 2).collect()
+    assert sorted((int(r["x"]), int(r["y"]), r["fresh"]) for r in seeded) == [(0, 0, False), (0, 0, True), (1, 0, False), (1, 0, True), (7, 7, False)]
+    assert {r["id"]: r["removed"] for r in simulation.remove_particles(points, grid.selectExpr("i", "j", "i AS distance"), 0.5).collect()} == {1: False, 2: True, 3: True}
     assert [tuple(r) for r in simulation.step_particles(points, grid, 1.0).collect()] == [(1, 1.5, 0.5)]
 
 

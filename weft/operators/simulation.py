@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from weft.functions.numeric import uniform
 from weft.operators.grids import _CORNER, _GRID, _grid, advect
 from weft.operators.learning import conjugate_gradient
 from weft.registry import query, table
@@ -162,3 +163,73 @@ _STAGES = "".join(f", s{k} AS MATERIALIZED (SELECT p_partkey, v + (SELECT sum(v
 def _staged(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("v"))
     return staged(rows, lambda r: r.withColumn("v", F.col("v") * 3 % 1009), F.sum("v"), lambda r, t: r.withColumn("v", F.col("v") + (t[0] or 0) % 7), 3)
+
+
+def reseed_particles(particles: DataFrame, grid: DataFrame, least: int) -> DataFrame:
+    """(id, x, y, fresh): particles, and in each cell of grid with fewer than `least` as many new ones as are missing.
+
+    New ones have a null id and stand at places that depend on their cell and number alone, so that a
+    task run again seeds the same.
+    """
+    had = particles.groupBy(F.floor("x").alias("i"), F.floor("y").alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    short = grid.select("i", "j").join(had, ["i", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < least)
+    new = short.select("i", "j", F.explode(F.sequence(F.col("n"), F.lit(least - 1))).alias("k"))
+    key = F.concat_ws(":", "i", "j", "k")
+    kind = particles.schema["id"].dataType
+    new = new.select(F.lit(None).cast(kind).alias("id"), (F.col("i") + uniform(key, 1)).alias("x"), (F.col("j") + uniform(key, 2)).alias("y"), F.lit(True).alias("fresh"))
+    return particles.select("id", "x", "y", F.lit(False).alias("fresh")).unionByName(new)
+
+
+def remove_particles(particles: DataFrame, grid: DataFrame, depth: float) -> DataFrame:
+    """(id, x, y, removed): whether a particle is in a cell of grid (i, j, distance) outside the surface by more than depth, or in none.
+
+    A removed one that comes back is no longer so when asked again: it is reincorporated.
+    """
+    at = particles.select("id", "x", "y", F.floor("x").alias("i"), F.floor("y").alias("j")).join(grid.select("i", "j", "distance"), ["i", "j"], "left")
+    return at.select("id", "x", "y", F.coalesce(F.col("distance") > depth, F.lit(True)).alias("removed"))
+
+
+def frame(grid: DataFrame, length: float, share: float = 0.5, force: float = 0.0, limit: int = 1000) -> tuple[DataFrame, int]:
+    """grid (i, j, value, u, v) after a frame of `length`, and the number of its substeps.
+
+    Each substep is as long as the velocities allow, carries the values and velocities along, and adds
+    force to v. The last one ends with the frame, or is the limit-th.
+    """
+    left, steps = length, 0
+    while left > 1e-12 and steps < limit:
+        dt = min(left, time_step(grid, share) or left)
+        grid = settle(advect(grid, dt, ("value", "u", "v")).withColumn("v", F.col("v") + force * dt))
+        left, steps = left - dt, steps + 1
+    return grid, steps
+
+
+@query("h9_reseed_counts", f"WITH {_GRID} SELECT i, j, greatest(3, (value::BIGINT % 5)) AS n FROM g")
+def _reseed(spark, d):
+    """Particles of each cell once it has three at least."""
+    g = _grid(spark, d)
+    some = g.select(F.lit(1).alias("id"), F.col("i"), F.col("j"), F.explode(F.expr("filter(sequence(1, 5), k -> k <= value % 5)")).alias("k"))
+    some = some.select("id", (F.col("i") + F.col("k") / 8).alias("x"), (F.col("j") + 0.5).alias("y"))
+    return reseed_particles(some, g, 3).groupBy(F.floor("x").alias("i"), F.floor("y").alias("j")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("h9_removed", f"WITH {_GRID}, p AS (SELECT p_partkey AS id, p_partkey // 64 + (p_partkey % 3) AS x, p_partkey % 64 + 0.25::DOUBLE AS y FROM part) SELECT id, coalesce(value - 25 > 10, true) AS removed FROM p LEFT JOIN g ON i = floor(x) AND j = floor(y)")
+def _removed(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 64 + p_partkey % 3").alias("x"), F.expr("p_partkey % 64 + 0.25D").alias("y"))
+    return remove_particles(p, _grid(spark, d).withColumn("distance", F.col("value") - 25), 10.0).select("id", "removed")
+
+
+def _substeps(frame_length: float, n: int) -> str:
+    """CTEs s0 (the grid and what is left) to s_n."""
+    out = f"s0 AS MATERIALIZED (SELECT i, j, value, u, v, {frame_length}::DOUBLE AS rest FROM g)"
+    for k in range(1, n + 1):
+        out += f", t{k} AS MATERIALIZED (SELECT least(any_value(rest), 0.5::DOUBLE / max(abs(u) + abs(v))) AS dt FROM s{k - 1})"
+        out += f", c{k} AS MATERIALIZED (SELECT i, j, rest, dt, floor(x)::BIGINT + a AS fi, floor(y)::BIGINT + b AS fj, (CASE a WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE b WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS w FROM (SELECT i, j, rest, dt, i - u * dt AS x, j - v * dt AS y FROM s{k - 1}, t{k}), (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b))"
+        out += f", s{k} AS MATERIALIZED (SELECT c.i, c.j, sum(w * coalesce(value, 0)) AS value, sum(w * coalesce(u, 0)) AS u, sum(w * coalesce(v, 0)) - 0.1::DOUBLE * any_value(dt) AS v, any_value(c.rest) - any_value(dt) AS rest FROM c{k} c LEFT JOIN s{k - 1} h ON h.i = fi AND h.j = fj GROUP BY 1, 2)"
+    return out
+
+
+@query("h6_frame", f"WITH {_GRID}, {_substeps(1.0, 3)} SELECT i, j, round(value, 6) AS value, round(u, 6) + 0.0 AS u, round(v, 6) + 0.0 AS v FROM s3")
+def _frame(spark, d):
+    """The first three substeps of a frame."""
+    out, _ = frame(_grid(spark, d), 1.0, 0.5, -0.1, 3)
+    return out.select("i", "j", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("value", "u", "v")))
