@@ -227,6 +227,44 @@ def test_licenses_against_brute_force(spark, docs, empty):
     assert license_scan(one).first().labels == "bsd-3,gpl-3" and license_scan(empty).count() == 0
 
 
+def _shortest(pattern):
+    """The shortest text of a signature's pattern, by its first alternatives."""
+    import re
+
+    def of(parsed):
+        out = ""
+        for op, x in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(x)
+            elif name == "SUBPATTERN":
+                out += of(x[-1])
+            elif name == "BRANCH":
+                out += of(x[1][0])
+            elif name == "MAX_REPEAT":
+                out += of(x[2]) * x[0]
+            elif name == "IN":
+                out += chr(x[0][1])
+            else:
+                raise ValueError(name)
+        return out
+
+    return of(re._parser.parse(pattern))
+
+
+def test_every_signature_alone_in_a_document(spark):
+    """No gate closes before a signature: each is found in a text that holds nothing else."""
+    cases = [(_shortest(pattern), label, confidence) for _, label, _, confidence, pattern in signatures()]
+    cases += [(phrase, label, 1.0) for phrase, label in BASE.items()]
+    for text, label in (("Released under MIT", "mit"), ("distributed under Apache 2.0", "apache-2"), ("available under EUPL 1.2", "eupl-1.2"), ("published under ODbL", "odbl"), ("released under MPL 2.0", "mpl-2"), ("provided under ISC", "isc")):
+        cases.append((f"This work is {text}.", label, 0.95))
+    cases.append(("see Artistic 2.0", "artistic-2", 0.6))
+    df = spark.createDataFrame([(i, text) for i, (text, _, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan(df).collect()}
+    lost = [case for i, case in enumerate(cases) if case[1] not in got[i].labels.split(",") or got[i].score < case[2]]
+    assert not lost
+
+
 def test_preferences(spark):
     kind = "array<struct<turn: bigint, role: string, text: string>>"
     a = [(0, "user", "hi"), (1, "assistant", "yes")]

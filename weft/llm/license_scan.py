@@ -1,9 +1,9 @@
 """License scans by ordered signature rules.
 
 Signatures are regular expressions over a text's words, built from the names of license families and the
-phrases in which a license is granted or named. A text is looked at more closely only if it holds one of
-a few keywords, and then only in segments around these. In a segment only the signatures are tried whose
-own keyword is among its words. Of the detections, each is suppressed whose interval of words lies within
+phrases in which a license is granted or named. A text is looked at more closely only if one of its words
+is a signature's keyword, and then only in segments around these. In a segment only the signatures are
+tried whose own keyword is among its words. Of the detections, each is suppressed whose interval of words lies within
 that of one of the same or a higher priority. All is done row by row, by SQL functions.
 """
 
@@ -77,8 +77,6 @@ PHRASES = [
 ]
 #: No signature is longer in words, nor any phrase with the longest name and version.
 LONGEST = 24
-#: Any of these in a text leads to a closer look.
-GATES = ("licen", "spdx", "gpl", "cc by", "cc0", "creative commons", "public domain", "bsd", "wtfpl", "under the")
 
 
 def signatures() -> list[tuple[str, str, int, float, str]]:
@@ -134,10 +132,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     norm = docs.select(F.col(id_col).alias("id"), F.btrim(F.regexp_replace(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")).alias("norm"))
-    # lower() changes more than A-Z, but never takes a keyword away
-    gate = F.lit(False)
-    for k in GATES:
-        gate = gate | F.contains("lower", F.lit(k))
+    # every signature and base phrase has a keyword among its words; lower() changes more than A-Z, but never takes a keyword away
+    anchors = sorted({k for k, *_ in signatures()})
+    gate = F.rlike(F.concat(F.lit(" "), F.col("lower"), F.lit(" ")), F.lit(f" (?:{'|'.join(anchors)}) "))
     norm = norm.withColumn("lower", F.lower("norm"))
     norm = norm.select(
         "id",
@@ -168,7 +165,6 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.array_compact(F.array(*labels)).alias("base"),
         words.alias("w"),
     )
-    anchors = sorted({k for k, *_ in signatures()})
     hits = F.filter(F.transform("w", lambda x, i: F.when(x.isin(*anchors), i)), lambda i: i.isNotNull())
     norm = norm.withColumn("hits", hits)
     # hits further apart than two signatures belong to two segments
