@@ -21,34 +21,50 @@ from weft.llm.simhash_dedup import simhash_dedup
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids, one for each id."""
-    return docs.select(*COLUMNS).join(ids.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The columns of documents and __key, never null, which only rows equal in all of them share."""
+    others = [c for c in COLUMNS if c != "text"]
+    return docs.select(*COLUMNS, F.sha2(F.to_json(F.struct(*others, F.sha2("text", 256).alias("text"))), 256).alias("__key"))
+
+
+def _only(keyed: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The rows of keyed whose __key is in verdict."""
+    return keyed.join(verdict.select("__key"), "__key", "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows without an id go: nothing could name them later."""
-    return _only(docs, quality_rules(docs, table(spark, sf_dir, "labels")).where("kept"))
+    """Rows that the quality rules keep, each by its own text; rows without an id too."""
+    keyed = _keyed(docs)
+    return _only(keyed, quality_rules(keyed, table(spark, sf_dir, "labels"), row_col="__key").where("kept")).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id; rows that repeat an id count once."""
-    return _only(docs, exact_dedup(docs).where("kept")).dropDuplicates(["doc_id"])
+    """Of equal texts one row: that with the largest id, and of rows that repeat it the least by the other columns."""
+    key = lambda sha: F.to_json(F.struct("doc_id", sha.alias("text")))
+    keyed = docs.select(*COLUMNS, key(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("__key"))
+    verdict = exact_dedup(docs).where("kept").select(key(F.col("text_sha256")).alias("__key"))
+    least = F.min(F.struct("doc_id", "lang", "source", "n_chars", "text")).alias("row")
+    return _only(keyed, verdict).groupBy("__key").agg(least).select("row.*").select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id."""
-    return _only(docs, simhash_dedup(docs).where("doc_id = component_id"))
+    """Of each component of near copies the row with the smallest id; of rows that repeat it with other texts one, by a digest."""
+    keyed = _keyed(docs)
+    # rows without an id come last, so that one of them stays only where all of a component have none
+    named = keyed.withColumn("__row", F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.col("__key").alias("key")))
+    return _only(keyed, simhash_dedup(named, id_col="__row").where("__row = component_id").select("__row.key").withColumnRenamed("key", "__key")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken.
+    """The mix: each row as often as it is taken. Its shuffle is by a digest of the whole row.
 
-    A document that the mix takes in part comes with as many of its first words, joined by spaces, in its
-    last row. Documents taken 0 times go. n_chars is that of the text in the row.
+    A row that the mix takes in part comes with as many of its first words, joined by spaces, in its
+    last row. Rows taken 0 times go. n_chars is that of the text in the row.
     """
-    taken = mix_sources(docs)[1].where("taken > 0").select("doc_id", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    rows = docs.select(*COLUMNS).join(taken, "doc_id")
+    keyed = _keyed(docs)
+    # equal rows are one here, taken as often as all of them
+    taken = mix_sources(keyed, id_col="__key")[1].where("taken > 0").groupBy("__key").agg(F.first("size").alias("__size"), F.sum("taken").alias("__taken"))
+    rows = keyed.join(taken, "__key").dropDuplicates(["__key"])
     rows = rows.withColumn("__left", F.explode(F.expr("transform(sequence(0, (__taken - 1) div __size), i -> least(__size, __taken - i * __size))")))
     part = F.col("__left") < F.col("__size")
     text = F.when(part, cut(F.col("text"), F.col("__left"))).otherwise(F.col("text"))

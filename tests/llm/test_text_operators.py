@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from compare import SF, check
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weft.llm import queries
@@ -323,6 +324,29 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert final == sorted((r["doc_id"], r["ids_sha256"]) for r in after)
 
 
+def test_pipeline_judges_rows_not_ids(spark):
+    """An id that many rows share loses no distinct text and keeps no rejected one; rows without an id stay."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    random_ = random.Random(11)
+    texts = [" ".join("".join(random_.choice("abcdefghijklmnopqrst") for _ in range(6)) for _ in range(40)) for _ in range(24)]
+    row = lambda i, t, lang="en", source="a": (i, t, lang, source, len(t))
+    good = [row(7, t) for t in texts[:12]] + [row(None, t) for t in texts[12:18]] + [row(100 + k, t) for k, t in enumerate(texts[18:])]
+    pairs = lambda df: sorted((r.doc_id or -1, r.text) for r in df.collect())
+    want = sorted((r[0] or -1, r[1]) for r in good)
+
+    kept = corpus_pipeline.quality(spark, spark.createDataFrame(good + [row(7, "too short"), row(None, "short too")], schema), SF)
+    assert pairs(kept) == want
+    again = [row(7, texts[0], "de"), row(7, texts[0]), row(3, texts[1]), row(None, texts[2]), row(None, texts[12])]
+    once = corpus_pipeline.exact(spark, spark.createDataFrame(good + again, schema), SF)
+    assert pairs(once) == want and [r.lang for r in once.where(F.col("text") == texts[0]).collect()] == ["de"]
+    copies = [row(9, texts[0]), row(None, texts[1]), row(9, texts[12])]
+    alone = corpus_pipeline.near(spark, spark.createDataFrame(good + copies, schema), SF)
+    assert pairs(alone) == sorted([x for x in want if x != (-1, texts[12])] + [(9, texts[12])])
+    mixed = corpus_pipeline.mix(spark, spark.createDataFrame(good, schema), SF).collect()
+    n = Counter((r.doc_id or -1, r.text) for r in mixed if len(r.text.split()) == 40)
+    assert sum(len(r.text.split()) for r in mixed) == 1.5 * 40 * len(good) and set(n) == set(want) and max(n.values()) <= 2
+
+
 def test_certified_levels_follow_the_exact_bound(spark):
     """The chosen severity is the last of those whose binomial tail is small enough, from the first on."""
     from math import comb

@@ -34,17 +34,19 @@ def _share(part: str, of: str) -> Column:
     return F.col(part) / F.greatest(F.col(of), F.lit(1))
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """Per row of docs: the id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the shares of LADDER, base_failed, severity.
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", row_col: str | None = None) -> DataFrame:
+    """Per row of docs: the id, row_col if given, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the shares of LADDER, base_failed, severity.
 
     severity is the least that rejects the row, SEVERITIES + 1 if none does. A null text has no words.
     All statistics cover whole texts; windows of words are compared by 64-bit hashes within a text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), text.alias("t"), words(F.col(text_col)).alias("w"))
+    row = [row_col] if row_col else []
+    split = docs.select(F.col(id_col).alias("id"), *row, F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), text.alias("t"), words(F.col(text_col)).alias("w"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     split = split.select(
         "id",
+        *row,
         "stratum",
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("t", F.lit("!")).cast("long").alias("n_bangs"),
@@ -58,6 +60,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows = F.when(F.size("h") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), lambda i: F.xxhash64(*(at(i, k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
     split = split.select(
         "id",
+        *row,
         "stratum",
         "n_words",
         "word_chars",
@@ -125,20 +128,20 @@ def certified(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> Da
     return counts.select("stratum", limit.alias("limit"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per row of docs: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, severity.
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA, row_col: str | None = None) -> DataFrame:
+    """One row per row of docs: the id, row_col if given, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, severity.
 
     labels: doc_id, quality (1: good); a document with several rows is good if all that are not null say
     1. Without labels, or in an unlabelled stratum, only the base rules reject. A null stratum counts as
     the empty one. Null and empty texts have no words and fail the base rules. Repeated rows get the same
     verdict, an empty table no rows, and other columns are ignored.
     """
-    stats = settle(text_statistics(docs, id_col, text_col, stratum_col))
+    stats = settle(text_statistics(docs, id_col, text_col, stratum_col, row_col))
     good = labels.groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("q")).where("q = 1").select("id")
     limits = certified(stats.join(good, "id", "left_semi"), alpha, delta)
     judged = stats.join(limits, "stratum", "left")
     kept = ~F.col("base_failed") & (F.col("severity") > F.coalesce("limit", F.lit(0)))
-    return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "severity")
+    return judged.select(F.col("id").alias(id_col), *([row_col] if row_col else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "severity")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
