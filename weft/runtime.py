@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut df's lineage with a checkpoint in the folder that the cluster shares, or in one of our own where none is set."""
-    context = df.sparkSession.sparkContext
+    """Cut df's lineage with a checkpoint in the folder that the cluster shares, or in the warehouse where none is set."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getConf().get("spark.checkpoint.dir", "") and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="weft-checkpoint-"))
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return df.checkpoint()
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own, wherever the cluster keeps it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def iterate(start: DataFrame, step: Callable[[DataFrame], DataFrame], times: int, every: int = 5) -> DataFrame:
     """step applied `times` times; every few rounds the plan is cut."""
     now = start
