@@ -21,7 +21,7 @@ from weft.llm.preference_format import preference_format
 from weft.llm.quality_classifier import fit as fit_quality
 from weft.llm.quality_classifier import quality_classifier
 from weft.llm.quality_rules import quality_rules, text_statistics
-from weft.llm.simhash_dedup import _find, components, fingerprint, links, masks, simhash_dedup
+from weft.llm.simhash_dedup import Forest, components, fingerprint, fingerprints, links, masks, simhash_dedup
 from weft.llm.token_attribution import attribute, token_attribution
 
 #: Nulls, empty and long texts, ties, repeated rows, and columns whose names clash with results.
@@ -152,14 +152,64 @@ def test_links_lose_none_when_nodes_are_hot(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
 
 
-def test_index_search_of_one_node():
+def _in_gray_order(fps):
+    rank = fps.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(k)
+    return fps[np.argsort(rank.view(np.int64))]
+
+
+def test_index_search_of_several_nodes():
     random_ = np.random.default_rng(5)
-    top = masks()[3]
-    base = random_.integers(0, 2**63, 40, dtype=np.uint64)
-    fps = np.unique(np.concatenate([base ^ (np.uint64(1) << random_.integers(0, 64, 40, dtype=np.uint64)) for _ in range(12)]) & ~np.uint64(top))
-    label = _find(fps, top, 4)
-    want = _brute_components({int(p): [i] for i, p in enumerate(fps)})
-    assert all((label[i] == label[j]) == (want[int(fps[i])] == want[int(fps[j])]) for i in range(0, len(fps), 7) for j in range(len(fps)))
+    top = masks(1 << 20)[3]
+    assert len(masks(1 << 20)) == 5 and len(masks(1 << 30)) == 15 and masks(100) == [0]
+    parts = []
+    for size in (12, 5, 700):
+        base = random_.integers(0, 2**63, max(1, size // 10), dtype=np.uint64)
+        near = np.concatenate([base ^ (np.uint64(1) << random_.integers(0, 64, len(base), dtype=np.uint64)) for _ in range(10)])
+        parts.append(_in_gray_order(np.unique(near & ~np.uint64(top))))
+    first = np.cumsum([0, *map(len, parts)])[:-1]
+    label = Forest(np.concatenate(parts), first, np.full(3, top, dtype=np.uint64)).search(4)
+    for at, fps in zip(first, parts):
+        want = _brute_components({int(p): [i] for i, p in enumerate(fps)})
+        assert [label[at + i] - at for i in range(len(fps))] == [want[int(p)] for p in fps]
+
+
+def test_the_index_finds_the_links_of_a_whole_table(spark):
+    """At sf0.1 every fingerprint goes down from the top of one hierarchy, which prunes most of it; the links are those of all pairs."""
+    rows = fingerprints(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("fp").distinct().collect()
+    fps = _in_gray_order(np.array([r.fp for r in rows], dtype=np.int64).view(np.uint64))
+    index = Forest(fps, np.array([0]), np.array([0], dtype=np.uint64))
+    label = index.search(4)
+    assert len(index.visited) >= 4 and index.visited[-1] == len(fps) and min(index.visited) > 0
+    assert sum(index.visited) < len(fps) ** 2 and index.pruned[2] > 0 < index.pruned[1]
+    for i, p in enumerate(fps):
+        near = np.flatnonzero(np.bitwise_count(fps ^ p) <= 4)
+        assert (label[near] == label[i]).all()
+    linked = np.flatnonzero(label != np.arange(len(fps)))
+    assert len(linked) and all(min((int(fps[i]) ^ int(fps[j])).bit_count() for j in np.flatnonzero(label == label[i]) if j != i) <= 4 for i in linked)
+
+
+def test_masks_lose_no_link(spark):
+    """Five and fifteen masks, and hot top nodes cut into stretches, give the components of all pairs."""
+    random_ = random.Random(8)
+    prints = set()
+    for _ in range(60):
+        p = random_.getrandbits(64)
+        for _ in range(12):
+            prints.add(p)
+            for b in random_.sample(range(64), random_.randint(1, 4)):
+                p ^= 1 << b
+    signed = {p: p - (1 << 64) if p >> 63 else p for p in prints}
+    df = spark.createDataFrame([(s,) for s in signed.values()], "fp long")
+    want = _brute_components({p: [s] for p, s in signed.items()})
+    for n, hot in ((1 << 20, 1 << 14), (1 << 30, 1 << 14), (0, 50), (1 << 20, 3)):
+        root = {r.node: r.root for r in components(links(df, hot=hot, n=n)).collect()}
+        groups, brute = {}, {}
+        for p, s in signed.items():
+            groups.setdefault(root.get(s, s), set()).add(s)
+            brute.setdefault(want[p], set()).add(s)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
 
 
 @pytest.fixture(scope="module")
@@ -246,6 +296,10 @@ def _shortest(pattern):
                 out += of(x[2]) * x[0]
             elif name == "IN":
                 out += chr(x[0][1])
+            elif name == "NOT_LITERAL":
+                out += "x"
+            elif name == "ASSERT_NOT":
+                pass
             else:
                 raise ValueError(name)
         return out
@@ -266,6 +320,62 @@ def test_every_signature_alone_in_a_document(spark):
     assert not lost
 
 
+def _scan(text, rules):
+    """What the scan of one text has to find: every signature tried on the whole of it, with no gate."""
+    import re
+
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)) + " "
+    found = []
+    for order, (label, priority, confidence, pattern) in enumerate(rules):
+        for m in pattern.finditer(words):
+            first = words.count(" ", 0, m.start()) - 1
+            found.append((first, first + m[0].count(" "), priority, order, label, confidence))
+    found.sort(key=lambda x: (x[0], -x[1], -x[2], x[3]))
+    stay = [x for i, x in enumerate(found) if not any(b[0] <= x[0] and b[1] >= x[1] and b[2] >= x[2] for b in found[:i])]
+    base = {label for p, label in BASE.items() if f" {p} " in words}
+    labels = base | {x[4] for x in stay}
+    return sorted((x[4], x[0], x[1]) for x in stay), ",".join(sorted(labels)), max([1.0 if base else 0.0, *(x[5] for x in stay)])
+
+
+def test_license_scan_against_one_without_gates(spark):
+    """Labels, places, priority and containment on all documents, on every signature, and on texts mixed of these."""
+    import re
+
+    rules = [(label, priority, confidence, re.compile(f"(?<= )(?:{pattern})(?= )")) for _, label, priority, confidence, pattern in signatures()]
+    random_ = random.Random(4)
+    alone = [_shortest(pattern) for *_, pattern in signatures()]
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()] + alone[::3]
+    filler = "the river ran under the old bridge by the mill see there".split()
+    texts += [" ".join(random_.choice([random_.choice(alone), *random_.choices(filler, k=3)]) for _ in range(random_.choice([3, 12, 40, 300]))) for _ in range(120)]
+    texts += ["MIT " * 40, "under the mit license " * 200, "by mit under bsd license gpl v2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    for r in license_scan(df).collect():
+        places, labels, score = _scan(texts[r.doc_id], rules)
+        assert sorted((d.label, d.first, d.last) for d in r.detections) == places, texts[r.doc_id][:200]
+        assert (r.labels, r.score) == (labels, score)
+
+
+def test_notices_and_ordinary_words(spark):
+    """Sentences of license texts have labels; names that are ordinary words have none without `license`."""
+    cases = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)": "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that": "bsd",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl-3-or-later",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2",
+        "a song by ruby under the bridge": "",
+        "we see python and vim by boost every day": "",
+        "the study by MIT": "",
+        "available under the Ruby license": "ruby",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in license_scan(df).collect()}
+    lost = [(text, label, got[i]) for i, (text, label) in enumerate(cases.items()) if (label not in got[i] if label else got[i] != [""])]
+    assert not lost
+    assert license_scan(spark.createDataFrame([(1, "mit license " * 50_000)], "doc_id long, text string")).first().n_words == 100_000
+
+
 def test_preferences(spark):
     kind = "array<struct<turn: bigint, role: string, text: string>>"
     a = [(0, "user", "hi"), (1, "assistant", "yes")]

@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from weft.registry import table
+from weft.runtime import settle
+
+__all__ = ["SPLIT", "WS", "ascii_lower", "held_out", "settle", "shuffle_partitions", "table", "words"]
+
 #: Characters that separate words, as in [\x20\x09-\x0D].
 WS = " \t\n\x0b\f\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut df's lineage with a reliable checkpoint in the folder that the cluster shares.
-
-    The folder is spark.checkpoint.dir; one of our own is set only where that is unset, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", "") and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="weft-checkpoint-"))
-    return df.checkpoint()
-
-
 def words(text: Column) -> Column:
     """The maximal runs of other characters than WS; none for null."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS))
@@ -43,9 +31,5 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def power_of_two(n: int) -> int:
-    return 1 << max(0, n - 1).bit_length()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
-Signatures are regular expressions over a text's words, built from the names of license families and the
-phrases in which a license is granted or named. A text is looked at more closely only if one of its words
+Signatures are regular expressions over a text's words: sentences of license texts and notices, written
+by hand, and the names of license families in the phrases in which a license is granted or named. A text is looked at more closely only if one of its words
 is a signature's keyword, and then only in segments around these. In a segment only the signatures are
 tried whose own keyword is among its words. Of the detections, each is suppressed whose interval of words lies within
 that of one of the same or a higher priority. All is done row by row, by SQL functions.
@@ -67,30 +67,115 @@ FAMILIES = [
     for key, name in (("cc", "cc"), ("commons", "creative commons"))
     for kind, words in (("by", "(?:by|attribution)"), ("by sa", "(?:by sa|attribution sharealike|attribution share alike)"), ("by nd", "(?:by nd|attribution noderivs|attribution noderivatives)"), ("by nc", "(?:by nc|attribution noncommercial|attribution non commercial)"), ("by nc sa", "(?:by nc sa|attribution noncommercial sharealike)"), ("by nc nd", "(?:by nc nd|attribution noncommercial noderivs)"))
 ]
-#: Phrases: priority, confidence, and what stands before and after a name.
+#: Sentences of license texts and notices: label, the keyword that gates it, pattern. They come before all names.
+_ANY = "(?: [^ ]+){1,16}"
+NOTICES = [
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "sublicense", "(?:to )?use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "noninfringement", "warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit-0", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so(?! subject)"),
+    ("x11", "consortium", "the name of the x consortium shall not be used in advertising or otherwise to promote the sale"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3", "endorse", f"neither the names? of{_ANY} may be used to endorse or promote products derived from this software"),
+    ("bsd-3", "endorse", "(?:the )?names? of(?: [^ ]+){1,6} may not be used to endorse or promote products derived from this software"),
+    ("bsd-4", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("isc", "hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("hpnd", "hereby", "permission to use copy modify and distribute this software and its documentation for any purpose(?: and)? without fee is hereby granted"),
+    ("postgresql", "hereby", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("curl", "hereby", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("bsl-1", "hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("ncsa", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction"),
+    ("unicode", "unicode", "obtaining a copy of the unicode data files and any associated documentation"),
+    ("json", "evil", "the software shall be used for good not evil"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
+    ("zlib", "commercial", "permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("libpng", "png", "the png reference library is supplied as is"),
+    ("ijg", "jpeg", "this software is based in part on the work of the independent jpeg group"),
+    ("apache-2", "apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2", "applicable", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2", "apache", "a copy of the license at https? www apache org licenses license 2 0"),
+    ("apache", "apache", "this product includes software developed (?:by|at) the apache software foundation"),
+    ("gpl", "gnu", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-2-or-later", "gnu", "the terms of the gnu general public license as published by the free software foundation either version 2 of the license or(?: at your option)? any later version"),
+    ("gpl-3-or-later", "gnu", "the terms of the gnu general public license as published by the free software foundation either version 3 of the license or(?: at your option)? any later version"),
+    ("gpl-2", "gnu", "the terms of the gnu general public license version 2 as published by the free software foundation"),
+    ("gpl", "merchantability", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license"),
+    ("gpl", "gnu", "you should have received a copy of the gnu general public license along with this"),
+    ("lgpl", "lesser", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl-2.1-or-later", "lesser", "the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or(?: at your option)? any later version"),
+    ("lgpl-3-or-later", "lesser", "the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or(?: at your option)? any later version"),
+    ("lgpl", "lesser", "you should have received a copy of the gnu lesser general public license along with this"),
+    ("agpl", "affero", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("agpl-3-or-later", "affero", "the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or(?: at your option)? any later version"),
+    ("agpl", "affero", "you should have received a copy of the gnu affero general public license along with this"),
+    ("fdl", "documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-1", "eclipse", "made available under the terms of the eclipse public license v1 0"),
+    ("epl-2", "eclipse", "made available under the terms of the eclipse public license(?: v)? ?2 0"),
+    ("cddl", "distribution", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cpl", "accompanying", "the accompanying program is provided under the terms of this common public license"),
+    ("ms-pl", "accompanying", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("php", "php", "this product includes php(?: software)? freely available from"),
+    ("python", "psf", "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("ofl", "font", "this font software is licensed under the sil open font license"),
+    ("ofl", "reserved", "no modified version of the font software may use the reserved font names?"),
+    ("eupl", "eupl", "licensed under the eupl(?: version [^ ]+(?: [^ ]+)?)?(?: or as soon they will be approved by the european commission)?"),
+    ("artistic", "verbatim", "you may make and give away verbatim copies of the (?:source form of the )?standard version of this package"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "fuck", "do what the fuck you want to public license"),
+    ("beerware", "beer", "if we meet some day and you think this stuff is worth it you can buy me a beer"),
+    ("cc0-1", "waived", "(?:has|have) waived all copyright and related or neighboring rights"),
+    ("cc0-1", "waiving", "dedicated the work to the public domain by waiving all of (?:his or her|their) rights to the work"),
+    ("cc-by", "attribution", "this work is licensed under a creative commons attribution(?: [1234] 0)? (?:international|unported|generic) license"),
+    ("cc-by-sa", "remix", "if you remix transform or build upon the material you must distribute your contributions under the same license"),
+    ("cc-by-nd", "remix", "if you remix transform or build upon the material you may not distribute the modified material"),
+    ("cc-by-nc", "noncommercial", "for noncommercial purposes only"),
+    ("cc-by-nc", "commercial", "you may not use the material for commercial purposes"),
+]
+#: Names that are words of other subjects too: of the first kind no weak phrase does, and a grant needs `license` or a version; of the second a weak phrase needs a version.
+COMMON = {"python", "ruby", "vim", "php", "boost", "openssl", "postgresql"}
+LOOSE = {"artistic", "expat", "database", "font", "union", "library", "distribution", "documentation"}
+#: Phrases: priority, confidence, what stands before a name and, of a license, after it.
 _GRANT = "(?:is |are )?(?:licensed|released|distributed|available|published|provided|made available|redistributed) (?:to you )?under (?:the )?(?:terms of (?:the )?)?"
+_CALLED = " licen[sc]e"
 PHRASES = [
     (3, 1.0, "spdx license identifier ", ""),
-    (3, 0.95, _GRANT, "(?: licen[sc]e)?"),
-    (2, 0.8, "", " licen[sc]e"),
-    (1, 0.6, "(?:under|license|licence|see|by) (?:the )?", ""),
+    (3, 0.95, _GRANT, f"(?:{_CALLED})?"),
+    (2, 0.8, "", _CALLED),
+    (1, 0.6, "(?:under|license|licence) (?:the )?", ""),
 ]
+#: Before a name with a version these are enough.
+_WEAK = "(?:under|license|licence|see|by) (?:the )?"
 #: No signature is longer in words, nor any phrase with the longest name and version.
-LONGEST = 24
+LONGEST = 64
 
 
 def signatures() -> list[tuple[str, str, int, float, str]]:
     """Keyword, label, priority, confidence and pattern of each signature, in their order."""
-    out = []
+    out = [(key, label, 4, 1.0, pattern) for label, key, pattern in NOTICES]
     for label, key, name, versions in FAMILIES:
         for priority, confidence, before, after in PHRASES:
+            if weak := priority == 1:
+                if key in COMMON:
+                    continue
             for version, pattern in versions.items():
                 v = f" (?:version |v )?{pattern}"
-                out.append((key, f"{label}-{version.removesuffix('.0')}", priority, confidence, f"{before}{name}(?:{after}{v}|{v}{after})" if after else f"{before}{name}{v}"))
-            out.append((key, label, priority, confidence, f"{before}{name}{after}"))
+                out.append((key, f"{label}-{version.removesuffix('.0')}", priority, confidence, f"{_WEAK if weak else before}{name}(?:{after}{v}|{v}{after})" if after else f"{_WEAK if weak else before}{name}{v}"))
+            if not (weak and key in LOOSE):
+                out.append((key, label, priority, confidence, f"{before}{name}{_CALLED if key in COMMON and before == _GRANT else after}"))
     return out
 
 
+#: Marks of a match's ends; control characters, which no word has.
+_FROM, _TO = "\x01", "\x02"
+
+
 def _spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
@@ -111,13 +196,10 @@ def _detections(segment: Column) -> Column:
     rules = F.filter(F.flatten(F.transform(keys, lambda k: F.element_at(rules_of, k))), lambda r: F.rlike(text, r["pattern"]))
 
     def places(rule: Column) -> Column:
-        found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-        gaps = F.split(text, rule["pattern"])
-        steps = F.transform(found, lambda m, i: F.struct(_spaces(F.get(gaps, i)).alias("gap"), _spaces(m).alias("len")))
-        # words before a match: the spaces before it less one
-        start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("out"))
-        step = lambda a, s: F.struct((a["at"] + s["gap"] + s["len"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("first"), (a["at"] + s["gap"] + s["len"]).alias("last")))).alias("out"))
-        spans = F.aggregate(steps, start, step, lambda a: a["out"])
+        # the first and last word of a match get a mark, which no word has otherwise
+        marked = F.split(F.btrim(F.regexp_replace(text, rule["pattern"], F.lit(f"{_FROM}$0{_TO}"))), " ")
+        at = lambda mark: F.filter(F.transform(marked, lambda w, i: F.when(F.contains(w, F.lit(mark)), i)), lambda i: i.isNotNull())
+        spans = F.arrays_zip(at(_FROM).alias("first"), at(_TO).alias("last"))
         return F.transform(spans, lambda x: F.struct((segment["at"] + x["first"]).alias("first"), (segment["at"] + x["last"]).alias("last"), rule["priority"].alias("priority"), rule["order"].alias("order"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
 
     return F.flatten(F.transform(rules, places))
@@ -182,7 +264,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     norm = norm.withColumn("lead", F.filter("found", lambda x, i: (i == 0) | (x["first"] != before(i)["first"]) | (x["p"] != before(i)["p"])))
     wider = lambda x: F.struct(x["first"].alias("first"), x["l"].alias("l"), x["p"].alias("p"), x["order"].alias("order"), x["label"].alias("label"), x["confidence"].alias("confidence"))
     norm = norm.withColumn("lead", F.sort_array(F.transform("lead", wider))).drop("found")
-    reach = len({p for p, *_ in PHRASES}) * (LONGEST + 1)
+    reach = (1 + len({p for p, *_ in PHRASES})) * (LONGEST + 1)
     inside = lambda x, i: F.exists(F.slice("lead", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))), lambda b: (b["l"] <= x["l"]) & (b["p"] <= x["p"]))
     norm = norm.withColumn("stay", F.filter("lead", lambda x, i: ~inside(x, i))).drop("lead")
     none = F.array().cast("array<string>")
