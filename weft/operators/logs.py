@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weft.registry import query, table
-from weft.runtime import running_sum
+from weft.runtime import numbered, running_sum
 
 
 def _user():
@@ -74,19 +74,26 @@ def phase_time(spark, d):
     return e.groupBy("user_id", "phase").agg(F.sum("dt").alias("us"))
 
 
-@query("w9_clock_aligned", "SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id) + 100, 8) AS aligned FROM events")
+_MARKED = "m AS (SELECT user_id % 10 AS machine, user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line FROM events), o AS (SELECT machine, avg(us) AS middle FROM m WHERE line = 3 GROUP BY 1)"
+
+
+@query("w9_clock_aligned", f"WITH {_MARKED} SELECT event_id, round(us - middle + 100, 3) AS aligned FROM m JOIN o USING (machine)")
 def clock_aligned(spark, d):
-    """Means are joined back by a grouped sum, not by a window over all of a machine's rows."""
-    e = _events(spark, d)
-    mean = e.groupBy("user_id").agg(F.avg("value").alias("mean"))
-    return e.join(mean, "user_id").select("event_id", F.round(F.col("value") - F.col("mean") + 100, 8).alias("aligned"))
+    """Clocks of ten machines shifted by the mean stamp of their users' marker rows, here the third of each. Means are joined back by a grouped sum, not by a window over all of a machine's rows."""
+    e = _events(spark, d).withColumns({"machine": F.col("user_id") % 10, "line": F.row_number().over(_user())})
+    middle = e.where("line = 3").groupBy("machine").agg(F.avg("us").alias("middle"))
+    return e.join(middle, "machine").select("event_id", F.round(F.col("us") - F.col("middle") + 100, 3).alias("aligned"))
 
 
 @query("w12_straggler_rank", "SELECT user_id, round(percent_rank() OVER (ORDER BY n, user_id), 6) AS rank, ntile(4) OVER (ORDER BY n, user_id)::INT AS quarter FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
 def stragglers(spark, d):
+    """Places in the order of all workers, by ranges."""
     n = _events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    w = W.orderBy("n", "user_id")  # one row for each worker
-    return n.select("user_id", F.round(F.percent_rank().over(w), 6).alias("rank"), F.ntile(4).over(w).alias("quarter"))
+    placed = numbered(n, ["n", "user_id"], "place")
+    all_ = placed.count()
+    wide, size = all_ % 4, all_ // 4
+    quarter = F.when(F.col("place") < wide * (size + 1), F.floor(F.col("place") / (size + 1))).otherwise(wide + F.floor((F.col("place") - wide * (size + 1)) / max(size, 1))) + 1
+    return placed.select("user_id", F.round(F.col("place") / max(all_ - 1, 1), 6).alias("rank"), quarter.cast("int").alias("quarter"))
 
 
 @query("w14_latest_version", "SELECT user_id, event_type, max(event_id) AS version FROM events GROUP BY 1, 2")
@@ -174,15 +181,28 @@ def semi_join(spark, d):
     return e.where(~F.col("event_type").startswith("p")).join(e.where("event_type = 'purchase'").select("user_id"), "user_id", "left_semi").select("event_id", F.upper(F.left("event_type", F.lit(1))).alias("code"))
 
 
-@query("o9_most_imbalanced", "SELECT user_id, n FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) ORDER BY n DESC, user_id LIMIT 5")
+_BLAME = "b AS (SELECT user_id AS suffered, prev AS blamed, count(*) AS n FROM (SELECT event_id, user_id, lag(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS prev FROM events) WHERE prev IS NOT NULL GROUP BY 1, 2)"
+
+
+@query("o9_most_imbalanced", f"WITH {_BLAME} SELECT a.suffered AS fast, a.blamed AS slow, a.n - coalesce(r.n, 0) AS more FROM b a LEFT JOIN b r ON r.suffered = a.blamed AND r.blamed = a.suffered WHERE a.suffered <> a.blamed ORDER BY more DESC, fast, slow LIMIT 1")
 def imbalanced(spark, d):
-    return _events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "user_id").limit(5)
+    """The pair of workers of which one blames the other most, less what it is blamed in turn."""
+    n = blame(spark, d)
+    back = n.select(F.col("suffered").alias("blamed"), F.col("blamed").alias("suffered"), F.col("n").alias("back"))
+    more = n.join(back, ["suffered", "blamed"], "left").where("suffered != blamed").select(F.col("suffered").alias("fast"), F.col("blamed").alias("slow"), (F.col("n") - F.coalesce("back", F.lit(0))).alias("more"))
+    return more.orderBy(F.desc("more"), "fast", "slow").limit(1)
 
 
-@query("j18_blame_counts", f"SELECT user_id AS suffered, prev AS blamed, count(*) AS n FROM (SELECT event_id, user_id, lag(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS prev FROM events) WHERE prev IS NOT NULL GROUP BY 1, 2")
+@query("j18_blame_counts", f"WITH {_BLAME} SELECT * FROM b")
 def blame(spark, d):
-    w = W.partitionBy("event_type").orderBy("ts", "event_id")
-    return _events(spark, d).select(F.col("user_id").alias("suffered"), F.lag("user_id").over(w).alias("blamed")).where("blamed is not null").groupBy("suffered", "blamed").agg(F.count(F.lit(1)).alias("n"))
+    """Who of an event's type came right before. A type's events go by days; only the last one of each day meets those of other days."""
+    e = _events(spark, d).withColumn("day", F.to_date("ts"))
+    kind = ["event_type"]
+    last = e.groupBy(*kind, "day").agg(F.max_by("user_id", F.struct("us", "event_id")).alias("carried"))
+    last = last.withColumn("carried", F.lag("carried").over(W.partitionBy(*kind).orderBy("day")))
+    within = F.lag("user_id").over(W.partitionBy(*kind, "day").orderBy("ts", "event_id"))
+    both = e.withColumn("within", within).join(last, [*kind, "day"]).select(F.col("user_id").alias("suffered"), F.coalesce("within", "carried").alias("blamed"))
+    return both.where("blamed is not null").groupBy("suffered", "blamed").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("w10_truncated_mean", f"SELECT user_id, round(avg(value), 9) AS mean FROM (SELECT user_id, value FROM events {_USER} QUALIFY row_number() OVER w > 2) GROUP BY 1")
@@ -192,9 +212,102 @@ def truncated_mean(spark, d):
     return e.groupBy("user_id").agg(F.round(F.avg("value"), 9).alias("mean"))
 
 
-@query("j19_link_lookup", "SELECT c_custkey, s_suppkey, n.n_regionkey AS link FROM customer JOIN nation n ON n.n_nationkey = c_nationkey JOIN supplier ON s_nationkey = c_nationkey")
+_NET = "k AS (SELECT a.r_regionkey AS source, b.r_regionkey AS target, 1000 // (1 + abs(a.r_regionkey - b.r_regionkey)) AS mbps, 50 + 200 * abs(a.r_regionkey - b.r_regionkey) AS us FROM region a, region b)"
+
+
+def link_of(pairs, links):
+    """pairs (source, target, ...) with what is known of each link (source, target, mbps, us): looked up by both ends, for pairs that occur; null for an unknown one."""
+    return pairs.join(links, ["source", "target"], "left")
+
+
+@query("j19_link_lookup", f"WITH {_NET}, p AS (SELECT DISTINCT l_suppkey, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey) SELECT l_suppkey, o_custkey, mbps, us FROM p JOIN supplier ON s_suppkey = l_suppkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN customer ON c_custkey = o_custkey JOIN nation b ON b.n_nationkey = c_nationkey JOIN k ON k.source = a.n_regionkey AND k.target = b.n_regionkey")
 def link_lookup(spark, d):
-    """Both ends of a link looked up by where they are."""
-    c, n, s = (table(spark, d, t) for t in ("customer", "nation", "supplier"))
-    ends = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(s, F.col("c_nationkey") == F.col("s_nationkey"))
-    return ends.select("c_custkey", "s_suppkey", F.col("n_regionkey").alias("link"))
+    """Rate and delay between each supplier and customer that trade, by their regions."""
+    c, n, s, r, o, li = (table(spark, d, t) for t in ("customer", "nation", "supplier", "region", "orders", "lineitem"))
+    apart = F.abs(F.col("source") - F.col("target"))
+    ends = r.select(F.col("r_regionkey").alias("source")).crossJoin(r.select(F.col("r_regionkey").alias("target")))  # of five regions
+    links = ends.select("source", "target", F.floor(F.lit(1000) / (1 + apart)).cast("int").alias("mbps"), (50 + 200 * apart).alias("us"))
+    pairs = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "o_custkey").distinct()
+    pairs = pairs.join(s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("source")), "l_suppkey")
+    pairs = pairs.join(c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_regionkey").alias("target")), "o_custkey")
+    return link_of(pairs, links).select("l_suppkey", "o_custkey", "mbps", "us")
+
+
+@query("p8_event_filter", "SELECT event_id FROM events WHERE event_type NOT IN ('login', 'view')")
+def event_filter(spark, d):
+    return _events(spark, d).where(~F.col("event_type").isin("login", "view")).select("event_id")
+
+
+@query("p14_without_last", f"SELECT event_id FROM events {_USER} QUALIFY lead(event_id) OVER w IS NOT NULL")
+def without_last(spark, d):
+    return _events(spark, d).withColumn("next", F.lead("event_id").over(_user())).where("next is not null").select("event_id")
+
+
+@query("w4_last_per_stamp", "WITH e AS (SELECT user_id, event_id, epoch_us(date_trunc('day', ts)) AS day, epoch_us(ts) AS us FROM events) SELECT user_id, day, arg_max(event_id, (us, event_id)) AS event_id FROM e GROUP BY 1, 2 QUALIFY day < max(day) OVER (PARTITION BY user_id)")
+def last_per_stamp(spark, d):
+    """The last record of each equal stamp, here a day's, of a user; the final stamp's is never written."""
+    e = _events(spark, d).withColumn("day", F.unix_micros(F.date_trunc("day", "ts").cast("timestamp")))
+    last = e.groupBy("user_id", "day").agg(F.max_by("event_id", F.struct("us", "event_id")).alias("event_id"))
+    return last.withColumn("final", F.max("day").over(W.partitionBy("user_id"))).where("day < final").select("user_id", "day", "event_id")
+
+
+@query("a22_worker_averages", "WITH w AS (SELECT user_id, count(*) AS n, sum(value) FILTER (event_type = 'click') / count(*) AS parent, sum(value) FILTER (event_type = 'view') / count(*) AS run FROM events GROUP BY 1) SELECT round(sum(parent), 6) AS parent, round(avg(coalesce(run, 0)), 6) AS run, count(*) AS workers FROM w")
+def worker_averages(spark, d):
+    """Means of workers over their steps, averaged over workers; the parent column alone is summed over them, as in the report this follows."""
+    n = F.count(F.lit(1))
+    per = lambda kind: F.sum(F.when(F.col("event_type") == kind, F.col("value"))) / n
+    w = _events(spark, d).groupBy("user_id").agg(per("click").alias("parent"), per("view").alias("run"))
+    return w.agg(F.round(F.sum("parent"), 6).alias("parent"), F.round(F.avg(F.coalesce("run", F.lit(0.0))), 6).alias("run"), F.count(F.lit(1)).alias("workers"))
+
+
+def _controller_sql(truncated: int) -> str:
+    return f"SELECT round(avg(length) FILTER (i >= {truncated}), 4) AS duration, round(avg(value) FILTER (i >= {truncated}), 6) AS overhead, round(sum(value), 4) AS total FROM s"
+
+
+@query("a23_controller_statistics", f"WITH s AS (SELECT value, row_number() OVER w - 1 AS i, coalesce(epoch_us(ts) / 1e6 - lag(epoch_us(ts)) OVER w / 1e6, -1) AS length FROM events WHERE event_type = 'purchase' WINDOW w AS (ORDER BY ts, event_id)) SELECT 0 AS truncated, * FROM ({_controller_sql(0)}) UNION ALL SELECT 3, * FROM ({_controller_sql(3)})")
+def controller_statistics(spark, d):
+    """Mean length of iterations, mean and total overhead, without the first 0 or 3. The first iteration has the length -1, which enters the mean if nothing is cut, as in the report this follows."""
+    s = numbered(_events(spark, d).where("event_type = 'purchase'").select("us", "event_id", "value"), ["us", "event_id"], "i")
+    before = s.select((F.col("i") + 1).alias("i"), F.col("us").alias("was"))
+    s = s.join(before, "i", "left").withColumn("length", F.coalesce(F.col("us") / 1e6 - F.col("was") / 1e6, F.lit(-1.0)))
+    part = lambda k: s.agg(F.lit(k).alias("truncated"), F.round(F.avg(F.when(F.col("i") >= k, F.col("length"))), 4).alias("duration"), F.round(F.avg(F.when(F.col("i") >= k, F.col("value"))), 6).alias("overhead"), F.round(F.sum("value"), 4).alias("total"))
+    return part(0).unionByName(part(3))
+
+
+@query("a2_two_level_sums", "SELECT l_returnflag, sum(l_quantity)::BIGINT AS total, max(l_quantity) AS most FROM lineitem GROUP BY 1")
+def two_level(spark, d):
+    """Sums of buckets first, then of these: what one key holds is spread over 64 of them."""
+    one = table(spark, d, "lineitem").groupBy("l_returnflag", F.pmod(F.xxhash64("l_orderkey"), F.lit(64)).alias("bucket")).agg(F.sum("l_quantity").alias("total"), F.max("l_quantity").alias("most"))
+    return one.groupBy("l_returnflag").agg(F.sum("total").cast("long").alias("total"), F.max("most").alias("most"))
+
+
+@query("a13_extremes_by_size", "SELECT l_orderkey, max(x) AS most, min(x) AS least, max(abs(x)) AS maxabs, arg_max(x, (abs(x), x)) AS maxmag, arg_min(x, (abs(x), x)) AS minmag FROM (SELECT l_orderkey, l_quantity - 25 AS x FROM lineitem) GROUP BY 1")
+def extremes(spark, d):
+    """Of equal sizes maxmag is the positive one, minmag the negative."""
+    x = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_quantity") - 25).alias("x"))
+    by = F.struct(F.abs("x"), F.col("x"))
+    return x.groupBy("l_orderkey").agg(F.max("x").alias("most"), F.min("x").alias("least"), F.max(F.abs("x")).alias("maxabs"), F.max_by("x", by).alias("maxmag"), F.min_by("x", by).alias("minmag"))
+
+
+@query("a14_componentwise_maxabs", "SELECT max(abs(l_quantity - 25)) AS quantity, max(abs(l_discount - 0.05)) AS discount, max(abs(l_tax - 0.03)) AS tax FROM lineitem")
+def componentwise(spark, d):
+    columns = {"quantity": F.col("l_quantity") - 25, "discount": F.col("l_discount") - 0.05, "tax": F.col("l_tax") - 0.03}
+    return table(spark, d, "lineitem").agg(*(F.max(F.abs(c)).alias(n) for n, c in columns.items()))
+
+
+@query("a10_signed_residual", "SELECT l_returnflag, max(l_quantity - 60) AS residual FROM lineitem GROUP BY 1")
+def residual(spark, d):
+    """The largest element with its sign, as the solver's local residual is written."""
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.max(F.col("l_quantity") - 60).alias("residual"))
+
+
+@query("a31_checksum", "SELECT l_suppkey, round(sum(l_quantity + l_tax), 6) AS checksum FROM lineitem GROUP BY 1")
+def checksum(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum(F.col("l_quantity") + F.col("l_tax")), 6).alias("checksum"))
+
+
+@query("a7_concatenated", "SELECT event_id, user_id FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, user_id FROM events WHERE event_type IN ('click', 'view')")
+def concatenated(spark, d):
+    """Scratch rows added to a particle's own, repeats kept."""
+    e = _events(spark, d).select("event_id", "user_id", "event_type")
+    return e.where("event_type = 'click'").unionAll(e.where("event_type in ('click', 'view')")).drop("event_type")

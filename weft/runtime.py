@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +35,31 @@ def iterate(start: DataFrame, step: Callable[[DataFrame], DataFrame], times: int
     return now
 
 
-def running_sum(df: DataFrame, chunk: str, order: list, values: dict[str, str]) -> DataFrame:
-    """df with the sum of each value over all rows up to this one, in the order of chunk and order.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path where the cluster shares one: that of checkpoints, or the warehouse."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def running_sum(df: DataFrame, chunk: str, order: list, values: dict[str, str], keys: list[str] | None = None) -> DataFrame:
+    """df with the sum of each value over all rows of its keys up to this one, in the order of chunk and order.
 
     Chunks are summed first, so that only their totals, not all rows, meet in one task.
     """
-    total = df.groupBy(chunk).agg(*(F.sum(v).alias(f"_{out}") for out, v in values.items()))
-    before = W.orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
-    total = total.select(chunk, *(F.coalesce(F.sum(f"_{out}").over(before), F.lit(0)).alias(f"_{out}") for out in values))
-    within = W.partitionBy(chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = df.withColumns({out: F.sum(v).over(within) for out, v in values.items()}).join(total, chunk)
+    keys = keys or []
+    total = df.groupBy(*keys, chunk).agg(*(F.sum(v).alias(f"_{out}") for out, v in values.items()))
+    before = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
+    total = total.select(*keys, chunk, *(F.coalesce(F.sum(f"_{out}").over(before), F.lit(0)).alias(f"_{out}") for out in values))
+    within = W.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = df.withColumns({out: F.sum(v).over(within) for out, v in values.items()}).join(total, [*keys, chunk])
     return out.withColumns({o: F.col(o) + F.col(f"_{o}") for o in values}).drop(*(f"_{o}" for o in values))
+
+
+def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
+    """df with the place, from 0, of each row in the order of all rows: ranges of the order are counted, and numbered each by itself. order must tell rows apart for the places to be the same again."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settle(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    before = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each of n ranges
+    before = before.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.withColumn(out, place).join(F.broadcast(before), "_part").withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before")
