@@ -57,7 +57,7 @@ def running_sum(df: DataFrame, chunk: str, order: list, values: dict[str, str],
 
 def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
     """df with the place, from 0, of each row in the order of all rows: ranges of the order are counted, and numbered each by itself. order must tell rows apart for the places to be the same again."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # the driver gets a sample of each range
     dealt = settle(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     before = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each of n ranges
     before = before.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
