@@ -1,18 +1,22 @@
 """SimHash near-dedup with a Gray-order hierarchical index of the fingerprints.
 
-Fingerprints of 64 bits link at `distance` or fewer differing bits. The index has three kinds of nodes.
-Its upper nodes are masked bit patterns: of `distance + 2` blocks of bits two at least are free of
-differences in any link, so each pair of blocks is a mask, and fingerprints that agree under it share an
-upper node. Below an upper node the fingerprints are sorted by Gray rank and grouped, 16 to a node, level
-by level. A node keeps the bits that all its fingerprints share and that no node above has factored out.
-A search goes down all levels for a chunk of fingerprints at a time, adds up the differences to the
-factored patterns and prunes a whole group once they exceed `distance`, or once the group is linked to
-the fingerprint already. So every link between different fingerprints is found or already implied, and
-an upper node emits one link per fingerprint at most, not all pairs.
-
-Upper nodes are dealt by key to tasks. One with over `HOT` fingerprints is cut into blocks, and each pair
-of blocks becomes a node of its own, so that none grows beyond two blocks. Links are joined to components
-by rounds of large-star and small-star steps on DataFrames.
+Fingerprints of 64 bits link at `distance` or fewer differing bits. The index is a forest. Its top nodes
+are masked bit patterns: the bits are cut into n blocks, of which n - distance at least are free of
+differences in any link, so each choice of n - distance blocks is a mask, and fingerprints that agree
+under it share a top node. n grows with the number of fingerprints, so that a top node has no more than
+`FULL` of them on average; up to `HOT` fingerprints are one list under the empty mask.
+
+Below a top node all fingerprints are sorted by Gray rank and grouped, 16 to a node, level by level. A
+node keeps the bits that all its fingerprints share and that no node above has factored out. A search
+starts at the top for many fingerprints at a time, adds up the differences to the factored patterns and
+prunes a whole group once they exceed `distance`, once all of the group is linked to the fingerprint
+already, or if it comes before it. So every link between different fingerprints is found or already
+implied, and a top node emits one link per fingerprint at most, not all pairs.
+
+Top nodes are dealt by key to tasks. One with over `HOT` fingerprints is cut into stretches of its Gray
+order; the bits that a stretch shares are factored out again, a pair of stretches whose patterns differ
+too much is pruned, and each pair that is left becomes a node of its own, so that none grows beyond two
+stretches. Links are joined to components by rounds of large-star and small-star steps on DataFrames.
 """
 
 from __future__ import annotations
@@ -28,8 +32,12 @@ from pyspark.sql import functions as F
 from weft.llm.common import settle, table
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
-#: Fingerprints of a block of a hot upper node; fan-out of the nodes; pairs that a search has in memory.
-HOT, FAN, FRONT = 1 << 14, 16, 1 << 20
+#: Fingerprints of a stretch of a hot top node, those of a top node on average, fan-out of the nodes.
+HOT, FULL, FAN = 1 << 14, 1 << 12, 16
+#: Pairs of fingerprint and node that a search has in memory; fingerprints that a task gathers before it searches.
+FRONT, GATHER = 1 << 20, 1 << 16
+#: Shares into which a component's fingerprints are dealt when they get its name.
+SHARES = 256
 _STEP = 1 << 16
 
 
@@ -69,12 +77,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
 
 
-def masks(distance: int = DISTANCE) -> list[int]:
-    """The masks of the upper nodes: two of distance + 2 blocks, as even as 64 bits allow."""
-    n = distance + 2
-    edges = [64 * i // n for i in range(n + 1)]
+def masks(n: int, distance: int = DISTANCE) -> list[int]:
+    """The masks of the top nodes for n fingerprints: all choices of blocks that a link leaves at least, as few as keep nodes of FULL."""
+    if n <= HOT:
+        return [0]
+    k = distance + 1
+    while n >> (64 // k * (k - distance)) > FULL and k < 16:
+        k += 1
+    edges = [64 * i // k for i in range(k + 1)]
     blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    return [x | y for x, y in combinations(blocks, 2)]
+    return [sum(c) for c in combinations(blocks, k - distance)]
 
 
 def _signed(x: int) -> int:
@@ -88,55 +100,72 @@ def gray_rank(fp: Column) -> Column:
     return fp
 
 
-def _levels(fps: np.ndarray, top: np.uint64) -> list[tuple[np.ndarray, np.ndarray]]:
-    """From the top: the factored mask and pattern of each node. Node j has nodes FAN * j ... of the level below, at last fingerprints."""
-    both, bits = [fps], [np.full(len(fps), np.uint64(2**64 - 1))]
-    while len(both[-1]) > FAN:
-        v, m = both[-1], bits[-1]
-        first = np.arange(0, len(v), FAN)
-        union, shared = np.bitwise_or.reduceat(v & m, first), np.bitwise_and.reduceat(v | ~m, first)
-        same = (shared | ~union) & np.bitwise_and.reduceat(m, first)
-        both.append(shared & same)
-        bits.append(same)
-    out = []
-    for i in range(len(both) - 1, -1, -1):
-        above = np.repeat(bits[i + 1], FAN)[: len(both[i])] if i + 1 < len(both) else np.full(len(both[i]), top)
-        out.append((bits[i] & ~above, both[i]))
-    return out
-
-
-def _find(fps: np.ndarray, top: int, distance: int) -> np.ndarray:
-    """Per fingerprint of one upper node the place of the first one of its component."""
-    n, label = len(fps), np.arange(len(fps))
-    levels = _levels(fps, np.uint64(top))
-    widths = [len(m) for m, _ in levels]
-    at, step = 0, 64
-    while at < n:
-        # the label of a node whose fingerprints all have it, else -1
-        uniform = [label]
-        for _ in levels[1:]:
-            first = np.arange(0, len(uniform[-1]), FAN)
-            lo, hi = np.minimum.reduceat(uniform[-1], first), np.maximum.reduceat(uniform[-1], first)
-            uniform.append(np.where(lo == hi, lo, -1))
-        uniform.reverse()
-        queries = np.arange(at, min(n, at + step))
-        q, node = np.repeat(queries, widths[0]), np.tile(np.arange(widths[0]), len(queries))
-        differ = np.zeros(len(q), dtype=np.uint8)
-        widest = len(q)
-        for depth, (mask, pattern) in enumerate(levels):
-            if depth:
-                child = node[:, None] * FAN + np.arange(FAN)
-                inside = child < widths[depth]
-                q, differ, node = np.repeat(q, FAN)[inside.ravel()], np.repeat(differ, FAN)[inside.ravel()], child[inside]
+class Forest:
+    """Top nodes side by side, each with its fingerprints in Gray order and their groups, level by level up to one root."""
+
+    def __init__(self, fps: np.ndarray, first: np.ndarray, tops: np.ndarray) -> None:
+        """first: where each top node's fingerprints start; tops: its mask."""
+        self.fps, self.tops = fps, tops
+        #: From the leaves up: where a node's children start, with their end; its last fingerprint; its factored bits and their pattern.
+        self.children: list[np.ndarray] = []
+        self.last = [np.arange(len(fps))]
+        self.pattern, shared = [fps], [np.full(len(fps), np.uint64(2**64 - 1))]
+        start = first
+        while len(self.pattern[-1]) > len(first):
+            v, m, here = self.pattern[-1], shared[-1], len(self.pattern[-1])
+            size = np.diff(np.append(start, here))
+            groups = -(-size // FAN)
+            begin = np.concatenate([[0], np.cumsum(groups)[:-1]])
+            at = np.repeat(start, groups) + FAN * (np.arange(groups.sum()) - np.repeat(begin, groups))
+            union, common = np.bitwise_or.reduceat(v & m, at), np.bitwise_and.reduceat(v | ~m, at)
+            same = (common | ~union) & np.bitwise_and.reduceat(m, at)
+            self.children.append(np.append(at, here))
+            self.last.append(self.last[-1][np.append(at[1:], here) - 1])
+            self.pattern.append(common & same)
+            shared.append(same)
+            start = begin
+        self.mask = []
+        for i, bits in enumerate(shared):
+            above = np.repeat(shared[i + 1], np.diff(self.children[i])) if i < len(self.children) else tops
+            self.mask.append(bits & ~above)
+        #: Nodes looked at and nodes pruned, by levels from the leaves up.
+        self.visited, self.pruned = [0] * len(self.mask), [0] * len(self.mask)
+
+    def _uniform(self, label: np.ndarray) -> list[np.ndarray]:
+        """The label of a node whose fingerprints all have it, else -1."""
+        out = [label]
+        for edges in self.children:
+            lo, hi = np.minimum.reduceat(out[-1], edges[:-1]), np.maximum.reduceat(out[-1], edges[:-1])
+            out.append(np.where(lo == hi, lo, -1))
+        return out
+
+    def search(self, distance: int) -> np.ndarray:
+        """Per fingerprint the place of the first one of its component within its top node."""
+        n, top = len(self.fps), len(self.mask) - 1
+        label = np.arange(n)
+        root = np.searchsorted(self.last[top], label)  # the top node of each
+        uniform, at, step = self._uniform(label), 0, 1024
+        while at < n:
+            q = np.arange(at, min(n, at + step))
+            at, widest = at + len(q), len(q)
+            node, differ = root[q], np.zeros(len(q), dtype=np.uint8)
+            for level in range(top, -1, -1):
+                if level < top:
+                    edges = self.children[level]
+                    lo, wide = edges[node], edges[node + 1] - edges[node]
+                    q, differ = np.repeat(q, wide), np.repeat(differ, wide)
+                    node = np.repeat(lo - np.concatenate([[0], np.cumsum(wide)[:-1]]), wide) + np.arange(len(q))
+                self.visited[level] += len(q)
+                differ = differ + np.bitwise_count((self.fps[q] ^ self.pattern[level][node]) & self.mask[level][node])
+                live = (differ <= distance) & (self.last[level][node] > q) & (uniform[level][node] != label[q])
+                self.pruned[level] += len(q) - int(live.sum())
                 widest = max(widest, len(q))
-            differ = differ + np.bitwise_count((fps[q] ^ pattern[node]) & mask[node])
-            live = (differ <= distance) & (uniform[depth][node] != label[q])
-            q, node, differ = q[live], node[live], differ[live]
-        if len(q):
-            label = _joined(label, q, node)
-        at += len(queries)
-        step = int(min(4096, max(8, 8 * FRONT // n), max(8, step * FRONT // widest if widest > FRONT else step * 2)))
-    return label
+                q, node, differ = q[live], node[live], differ[live]
+            if len(q):
+                label = _joined(label, q, node)
+                uniform = self._uniform(label)
+            step = max(16, min(1 << 16, step * FRONT // widest if widest > FRONT else step * 2))
+        return label
 
 
 def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,69 +182,75 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = jumped
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """Links (a, b) between distinct fingerprints fps (fp) that connect just those within `distance`, directly or by others."""
-    tops = masks(distance)
+def links(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT, n: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints fps (fp) that connect just those within `distance`, directly or by others.
+
+    n: how many masks are made for, by default as many as there are.
+    """
+    tops = masks(fps.count() if n is None else n, distance)
     nodes = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in tops))).alias("mask", "key"))
     sizes = nodes.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
-    sizes = settle(sizes.select("mask", "key", F.ceil(F.col("n") / hot).cast("int").alias("blocks")))
+    sizes = settle(sizes.select("mask", "key", F.ceil(F.col("n") / hot).cast("int").alias("parts")))
     if sizes.isEmpty():
-        nodes = nodes.withColumn("part", F.lit(0).cast("long"))
+        nodes = nodes.select("mask", "key", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp")
     else:
-        # of a hot node each pair of blocks is a node of its own
-        block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        nodes = nodes.join(sizes, ["mask", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", block)
-        nodes = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        nodes = nodes.withColumn("part", F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other"))
-        # a block alone is in all its pairs
-        nodes = nodes.where((F.col("own") != F.col("other")) | (F.col("blocks") == 1))
-    nodes = nodes.select("mask", "key", "part", gray_rank(F.col("fp")).alias("rank"), "fp")
-    nodes = nodes.repartition("mask", "key", "part").sortWithinPartitions("mask", "key", "part", "rank")
+        nodes = _stretched(nodes, sizes, distance)
+    by = ["mask", "key", "a", "b"]
+    nodes = nodes.repartition(*by).sortWithinPartitions(*by, gray_rank(F.col("fp")))
+    masks_of = np.array(tops, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
+        gathered = 0
         for batch in batches:
-            now = np.stack([batch.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4)])
-            whole = np.concatenate([*kept, now], axis=1) if kept else now
-            # the last node may go on in the next batch
-            last = whole[:3, -1:]
-            differs = np.flatnonzero((whole[:3] != last).any(axis=0))
-            upto = differs[-1] + 1 if len(differs) else 0
-            kept = [whole[:, upto:]]
-            if upto:
-                yield from search(whole[:, :upto])
-        if kept and kept[0].shape[1]:
-            yield from search(kept[0])
+            kept.append(np.stack([batch.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(5)]))
+            gathered += batch.num_rows
+            if gathered >= GATHER:
+                whole = np.concatenate(kept, axis=1)
+                # the last node may go on in the next batch
+                differs = np.flatnonzero((whole[:4] != whole[:4, -1:]).any(axis=0))
+                upto = differs[-1] + 1 if len(differs) else 0
+                if upto:
+                    yield from search(whole[:, :upto])
+                kept, gathered = [whole[:, upto:]], 0
+        if kept:
+            yield from search(np.concatenate(kept, axis=1))
 
     def search(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        fresh = np.concatenate([[True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)])
+        fresh = np.concatenate([[True], (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)])
         first = np.flatnonzero(fresh)
-        size = np.diff([*first, rows.shape[1]])
-        fps = rows[3].view(np.uint64) if rows[3].flags.c_contiguous else np.ascontiguousarray(rows[3]).view(np.uint64)
-        a, b = [], []
-        # small nodes have one level: all of them go side by side, each fingerprint against the next, the next but one, ...
-        small = np.repeat((size > 1) & (size <= FAN), size)
-        left = np.repeat(first + size, size) - np.arange(rows.shape[1])
-        at = np.flatnonzero(small)
-        for lag in range(1, FAN):
-            at = at[left[at] > lag]
-            hit = at[np.bitwise_count(fps[at] ^ fps[at + lag]) <= distance]
-            a.append(hit + lag)
-            b.append(hit)
-        for i in np.flatnonzero(size > FAN):
-            here = fps[first[i] : first[i] + size[i]]
-            label = _find(here, tops[int(rows[0, first[i]])], distance)
+        lone = np.repeat(np.diff(np.append(first, rows.shape[1])) == 1, np.diff(np.append(first, rows.shape[1])))
+        rows, first = rows[:, ~lone], np.flatnonzero(fresh[~lone])
+        if rows.shape[1]:
+            label = Forest(np.ascontiguousarray(rows[4]).view(np.uint64), first, masks_of[rows[0, first]]).search(distance)
             far = np.flatnonzero(label != np.arange(len(label)))
-            a.append(first[i] + far)
-            b.append(first[i] + label[far])
-        x, y = np.concatenate(a), np.concatenate(b)
-        if len(x):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[3][x]), pa.array(rows[3][y])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[4][far]), pa.array(rows[4][label[far]])], ["a", "b"])
 
     found = nodes.mapInArrow(run, "a long, b long")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _stretched(nodes: DataFrame, sizes: DataFrame, distance: int) -> DataFrame:
+    """nodes (mask, key, fp) as (mask, key, a, b, fp): the hot ones of sizes once for each pair (a, b) of their stretches that may hold a link."""
+    nodes = nodes.join(sizes, ["mask", "key"], "left")
+    # any cuts are right; ranges of the Gray order make stretches even, as no two ranks are the same
+    parts = int(sizes.agg(F.sum("parts")).first()[0])
+    hot = nodes.where("parts is not null").select("mask", "key", "fp").repartitionByRange(parts, "mask", "key", gray_rank(F.col("fp")))
+    hot = settle(hot.withColumn("own", F.spark_partition_id()))
+    shared = hot.groupBy("mask", "key", "own").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any"))
+    same = F.col("ones").bitwiseOR(F.bitwise_not("any"))
+    shared = shared.select("mask", "key", F.col("own").alias("a"), "ones", same.alias("same"))
+    other = shared.select("mask", "key", F.col("a").alias("b"), F.col("ones").alias("ones_b"), F.col("same").alias("same_b"))
+    apart = F.bit_count(F.col("ones").bitwiseXOR(F.col("ones_b")).bitwiseAND(F.col("same")).bitwiseAND(F.col("same_b")))
+    pairs = shared.join(other, ["mask", "key"]).where("a <= b").where(apart <= distance).select("mask", "key", "a", "b")
+    # a stretch alone is in all its pairs, if it has any
+    paired = pairs.where("a < b")
+    alone = pairs.where("a = b").join(paired.select("mask", "key", "a").union(paired.select("mask", "key", "b")).distinct(), ["mask", "key", "a"], "left_anti")
+    ends = paired.unionByName(alone).select("mask", "key", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("own"))
+    cool = nodes.where("parts is null").select("mask", "key", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp")
+    return cool.unionByName(hot.join(ends, ["mask", "key", "own"]).select("mask", "key", "a", "b", "fp"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the least node of its component.
 
@@ -247,14 +282,23 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     document. A null id is in a component whose id is the least that is not null, if any. An empty table
     gives no rows. Other columns are ignored. Equal fingerprints are one entry of the index.
     """
-    prints = settle(fingerprints(docs, id_col, text_col, shingle))
-    fps = settle(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    # a partition's rows of one fingerprint are a bundle of their own, so that no group of copies meets in one task
+    prints = settle(fingerprints(docs, id_col, text_col, shingle).withColumn("run", F.spark_partition_id()))
+    bundles = settle(prints.groupBy("fp", "run").agg(F.min("id").alias("least")))
+    fps = settle(bundles.groupBy("fp").agg(F.min("least").alias("least")))
     stars = components(links(fps.select("fp"), distance))
+    return _named(prints, bundles, fps, stars).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(prints: DataFrame, bundles: DataFrame, fps: DataFrame, stars: DataFrame) -> DataFrame:
+    """prints with component_id, the least id of the component. A root's fingerprints, and a fingerprint's rows, meet in shares of limited size only."""
     rooted = fps.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
-    out = prints.join(named, "fp")
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = settle(rooted.withColumn("share", F.when(F.col("fp") == F.col("root"), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.lit(SHARES)).cast("int"))))
+    shares = rooted.groupBy("root", "share").agg(F.min("least").alias("least"))
+    named = shares.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = shares.select("root", "share").join(named, "root")
+    named = rooted.select("fp", "root", "share").join(named, ["root", "share"]).select("fp", "component_id")
+    return prints.join(bundles.select("fp", "run").join(named, "fp"), ["fp", "run"])
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
