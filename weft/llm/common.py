@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weft.registry import table
 from weft.runtime import settle
 
-__all__ = ["SPLIT", "WS", "ascii_lower", "held_out", "settle", "shuffle_partitions", "table", "words"]
+__all__ = ["SPLIT", "WS", "ascii_lower", "held_out", "settle", "table", "words"]
 
 #: Characters that separate words, as in [\x20\x09-\x0D].
 WS = " \t\n\x0b\f\r"
@@ -29,7 +29,3 @@ def held_out(id_: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z become a-z, nothing else changes."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
