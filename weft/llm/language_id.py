@@ -2,10 +2,10 @@
 
 N-grams of one to three characters, letters lower-cased and all else as one space, are hashed to `BINS`
 features. A document's features are log(1 + count) times the inverse document frequency, of length 1.
-Document frequencies come from all documents that may be learnt from. The weights are learnt from at most
-`SAMPLE` of them, the first by a hash of the id, by follow-the-regularised-leader (FTRL-proximal) with
-elastic-net penalties, which leaves most weights at zero. A fifth of the sample is kept back to set the
-temperature that calibrates the probabilities.
+The languages and the document frequencies come from all documents that may be learnt from. The weights
+are learnt from a sample, of each language as many, the first by a hash of the id, by
+follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties, which leaves most weights at
+zero. A fifth of the sample is kept back to set the temperature that calibrates the probabilities.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from weft.llm.common import held_out, table
 
 BINS = 1 << 15
-#: Documents to learn weights from, at most; of one text no more distinct n-grams than BINS are sent.
-SAMPLE = 3000
+#: Documents to learn weights from, shared by the languages, but LEAST of each if it has them; of one text no more distinct n-grams than BINS are sent.
+SAMPLE, LEAST = 3000, 100
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.02, 3
 UNKNOWN = "und"
 
@@ -125,16 +126,21 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
     return total[:-1], int(total[-1])
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model learnt from rows whose lang is not null.
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, least: int = LEAST) -> Model:
+    """A model learnt from rows whose lang is not null; an id has the least lang of its rows.
 
-    Frequencies cover all of them; weights at most `sample` ids, of each the least row. Without a row that has a letter the model
-    knows no language.
+    Languages and frequencies cover all of them. Weights come from max(least, sample / languages) ids of
+    each language at most, of each id the least row. Without a row that has a letter the model knows no
+    language. With fewer than 25 ids none is kept back, and the temperature is that of the ids learnt from.
     """
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     frequency, n = document_frequencies(rows, "text")
     # the sample is found by ids alone, so that the sort carries no texts; an id counts once, however often it repeats
-    first = rows.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(sample)
+    ids = rows.where("id is not null").groupBy("id").agg(F.min("lang").alias("lang"))
+    quota = max(least, sample // max(1, rows.agg(F.countDistinct("lang")).first()[0]))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(1)), "id"))
+    # the limit is applied before rows of a language meet
+    first = ids.withColumn("place", place).where(F.col("place") <= quota).select("id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

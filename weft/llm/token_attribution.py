@@ -24,38 +24,44 @@ from weft.llm.common import table
 RULES = ("start", "majority", "split")
 
 
-def attribute(ends: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarray, int]:
-    """Tokens of each section and the number of tokens that cross a boundary.
+def attribute(ends: np.ndarray, bounds: np.ndarray, rule: str, starts: np.ndarray | None = None) -> tuple[np.ndarray, int, float]:
+    """Tokens of each section, the number of tokens that cross a boundary, and tokens of no section.
 
-    ends: where each token ends; bounds: where each section ends, the last where the last token does. Empty
-    sections get none.
+    ends: where each token ends; starts, bounds: where each section starts and ends, in order; by default
+    a section starts where the one before ends. What lies between sections, and after the last, is of no
+    section and takes part in the rule as one of its own. Empty sections get none.
     """
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    first = np.searchsorted(bounds, starts, side="right")
-    last = np.searchsorted(bounds, ends, side="left")
+    if not len(ends):
+        return np.zeros(len(bounds)), 0, 0.0
+    starts = np.concatenate([[0], bounds[:-1]]) if starts is None else starts
+    # gap, section, gap, section, ..., gap: where each ends
+    cuts = np.append(np.stack([starts, bounds], axis=1).ravel(), max([ends[-1], *bounds[-1:]])).astype(np.int64)
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    first = np.searchsorted(cuts, begins, side="right")
+    last = np.searchsorted(cuts, ends, side="left")
     crossing = np.flatnonzero(last > first)
-    to = first
-    out = np.zeros(len(bounds))
+    to, out = first, np.zeros(len(cuts))
     if rule != "start" and len(crossing):
         to = first.copy()
-        edges = np.concatenate([[0], bounds])
+        edges = np.concatenate([[0], cuts])
         for i in crossing:  # few
             k = np.arange(first[i], last[i] + 1)
-            share = np.minimum(edges[k + 1], ends[i]) - np.maximum(edges[k], starts[i])
+            share = np.minimum(edges[k + 1], ends[i]) - np.maximum(edges[k], begins[i])
             if rule == "majority":
                 to[i] = k[share.argmax()]
             else:
                 out[k] += share / share.sum()
         if rule == "split":
             to = np.delete(first, crossing)
-    return out + np.bincount(to, minlength=len(bounds)), len(crossing)
+    out += np.bincount(to, minlength=len(cuts))
+    return out[1::2], len(crossing), float(out[0::2].sum())
 
 
 def token_attribution(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", section: bytes = rb"[^\n]*\n|[^\n]+$", rule: str = "majority", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """One row per row of docs: the id, n_tokens, n_sections, n_crossing, section_tokens (an array of doubles, in the order of sections).
+    """One row per row of docs: the id, n_tokens, n_sections, n_crossing, section_tokens (an array of doubles, in the order of sections), outside_tokens.
 
-    section: a pattern over bytes whose matches are the sections and cover the text; by default its lines,
-    each with its line end. A null or empty text has no tokens and no sections. Rows may repeat, an empty
+    section: a pattern over bytes whose matches are the sections; by default the lines, each with its line
+    end. What no match covers is of no section, and its tokens are outside_tokens. A null or empty text has no tokens and no sections. Rows may repeat, an empty
     table gives no rows, and other columns are ignored.
     """
     if rule not in RULES:
@@ -67,19 +73,19 @@ def token_attribution(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         length = np.array([len(b or b"") for b in codec.bytes_of], dtype=np.int64)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            n, sections, crossing, tokens = [], [], [], []
+            n, crossing, tokens, outside = [], [], [], []
             for text, ids in zip(texts, codec.encode(texts)):
-                bounds = np.fromiter((m.end() for m in spans((text or "").encode())), dtype=np.int64)
-                count, across = attribute(np.cumsum(length[np.array(ids, dtype=np.int64)]), bounds, rule) if ids else (np.zeros(0), 0)
+                at = np.array([m.span() for m in spans((text or "").encode())], dtype=np.int64).reshape(-1, 2)
+                count, across, rest = attribute(np.cumsum(length[np.array(ids, dtype=np.int64)]), at[:, 1], rule, at[:, 0])
                 n.append(len(ids))
-                sections.append(len(bounds))
                 crossing.append(across)
                 tokens.append(count)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sections, pa.int64()), pa.array(crossing, pa.int64()), pa.array(tokens, pa.list_(pa.float64()))], ["id", "n_tokens", "n_sections", "n_crossing", "section_tokens"])
+                outside.append(rest)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(list(map(len, tokens)), pa.int64()), pa.array(crossing, pa.int64()), pa.array(tokens, pa.list_(pa.float64())), pa.array(outside, pa.float64())], ["id", "n_tokens", "n_sections", "n_crossing", "section_tokens", "outside_tokens"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n_tokens long, n_sections long, n_crossing long, section_tokens array<double>").withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, f"id {kind}, n_tokens long, n_sections long, n_crossing long, section_tokens array<double>, outside_tokens double").withColumnRenamed("id", id_col)
 
 
 def op7_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
