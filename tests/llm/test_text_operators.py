@@ -13,13 +13,15 @@ import corpus_pipeline
 from weft.llm import queries
 from weft.llm.byte_bpe import Codec, decode, encode, read_ranks, round_trip
 from weft.llm.exact_dedup import exact_dedup
+from weft.llm.language_id import bins, document_frequencies
 from weft.llm.language_id import fit as fit_language
 from weft.llm.language_id import language_id
 from weft.llm.license_scan import BASE, license_scan, signatures
 from weft.llm.mix_sources import mix_sources
 from weft.llm.preference_format import preference_format
+from weft.llm.quality_classifier import features as quality_features
 from weft.llm.quality_classifier import fit as fit_quality
-from weft.llm.quality_classifier import quality_classifier
+from weft.llm.quality_classifier import fit_weights, moments, prior_of, quality_classifier, risk
 from weft.llm.quality_rules import quality_rules, text_statistics
 from weft.llm.simhash_dedup import Forest, components, fingerprint, fingerprints, links, masks, simhash_dedup
 from weft.llm.token_attribution import attribute, token_attribution
@@ -255,8 +257,50 @@ def test_attribution(docs, empty):
     assert [attribute(ends, bounds, rule)[0].tolist() for rule in ("start", "majority", "split")] == [[2, 0, 2], [2, 0, 2], [1 + 1 / 3, 1 / 3, 2 + 1 / 3]]
     assert attribute(ends, bounds, "start")[1] == 1
     got = token_attribution(docs, rule="split").collect()
-    assert len(got) == len(ROWS) and all(abs(sum(r.section_tokens) - r.n_tokens) < 1e-6 and len(r.section_tokens) == r.n_sections for r in got)
+    assert len(got) == len(ROWS) and all(abs(sum(r.section_tokens) - r.n_tokens) < 1e-6 and len(r.section_tokens) == r.n_sections and r.outside_tokens == 0 for r in got)
     assert token_attribution(empty).count() == 0
+    gaps = token_attribution(docs, section=rb"the [a-z]+", rule="split").collect()
+    assert all(abs(sum(r.section_tokens) + r.outside_tokens - r.n_tokens) < 1e-6 for r in gaps) and max(r.outside_tokens for r in gaps) > 0
+
+
+def test_attribution_byte_by_byte():
+    """The three rules against one that looks at each byte, with gaps, empty sections and a tail that is of none."""
+    random_ = random.Random(2)
+    for _ in range(400):
+        ends = np.cumsum([random_.randint(1, 4) for _ in range(random_.randint(1, 12))])
+        total = int(ends[-1])
+        cuts = sorted(random_.choices(range(total + 1), k=2 * random_.randint(0, 4)))
+        spans = list(zip(cuts[::2], cuts[1::2]))
+        at = np.array(spans, dtype=np.int64).reshape(-1, 2)
+        # what each byte belongs to; the bytes between two sections are of a gap of their own
+        of, gap = [], 0
+        for b in range(total):
+            inside = [k for k, (lo, hi) in enumerate(spans) if lo <= b < hi]
+            gap = sum(hi <= b for _, hi in spans)
+            of.append(("s", inside[0]) if inside else ("g", gap))
+        for rule in ("start", "majority", "split"):
+            want, outside, across, start = [0.0] * len(spans), 0.0, 0, 0
+            for end in ends:
+                owners = of[start:end]
+                share = Counter(owners)
+                if rule == "start":
+                    share = {owners[0]: 1.0}
+                elif rule == "majority":
+                    most = max(share.values())
+                    share = {next(o for o in owners if share[o] == most): 1.0}
+                else:
+                    share = {o: n / len(owners) for o, n in share.items()}
+                across += len(set(owners)) > 1
+                for (kind, k), n in share.items():
+                    if kind == "s":
+                        want[k] += n
+                    else:
+                        outside += n
+                start = end
+            got = attribute(ends, at[:, 1], rule, at[:, 0])
+            assert np.allclose(got[0], want) and abs(got[2] - outside) < 1e-9, (ends, spans, rule)
+            assert got[1] >= across  # a token over an empty section or gap crosses boundaries too
+    assert attribute(np.array([2, 5, 9, 10]), np.array([3, 4]), "start")[2] == 2
 
 
 def test_licenses_against_brute_force(spark, docs, empty):
@@ -379,11 +423,24 @@ def test_notices_and_ordinary_words(spark):
 def test_preferences(spark):
     kind = "array<struct<turn: bigint, role: string, text: string>>"
     a = [(0, "user", "hi"), (1, "assistant", "yes")]
-    pairs = spark.createDataFrame([(1, a, [(0, "user", "hi"), (1, "assistant", "no")]), (2, a, a), (3, a, None), (4, None, None), (5, a, a[:1])], f"pair_id long, chosen {kind}, rejected {kind}")
+    none = [(0, "user", "hi"), (1, "assistant", None)]
+    pairs = spark.createDataFrame([(1, a, [(0, "user", "hi"), (1, "assistant", "no")]), (2, a, a), (3, a, None), (4, None, None), (5, a, a[:1]), (6, none, a), (7, none, [*none, None, (2, None, "x")]), (8, none, [a[0], (1, None, None)])], f"pair_id long, chosen {kind}, rejected {kind}")
     by = {r.pair_id: r for r in preference_format(pairs).collect()}
-    assert [by[i].n_prefix for i in range(1, 6)] == [1, 2, 0, 0, 1] and by[2].chosen == by[2].rejected == by[4].prompt == ""
+    assert [by[i].n_prefix for i in range(1, 9)] == [1, 2, 0, 0, 1, 1, 2, 1] and by[2].chosen == by[2].rejected == by[4].prompt == ""
     s = by[1].chosen_mask[0]
     assert by[1].chosen[s.start : s.end] == "yes<|im_end|>\n" and by[5].rejected == "" and by[1].prompt.endswith("hi<|im_end|>\n")
+    # a null text is an empty one: it is rendered, and learnt as the mark that ends the turn
+    s = by[6].chosen_mask[0]
+    assert by[6].chosen[s.start : s.end] == "<|im_end|>\n" and by[6].rejected.endswith("yes<|im_end|>\n")
+    assert by[7].chosen == "" and by[7].rejected == "<|im_start|>\n<|im_end|>\n<|im_start|>\nx<|im_end|>\n" and by[7].rejected_mask == []
+    long = spark.createDataFrame([(1, [(i, "assistant", "y") for i in range(3000)], [(0, "user", "n")])], f"pair_id long, chosen {kind}, rejected {kind}")
+    r = preference_format(long).first()
+    assert len(r.chosen_mask) == 3000 and all(r.chosen[m.start : m.end] == "y<|im_end|>\n" for m in r.chosen_mask)
+
+
+def test_preferences_part_at_all_turns(spark):
+    got = queries.QUERIES["op3_preference_format"](spark, SF).collect()
+    assert {0, 1, 2, 3} <= {r.n_prefix for r in got} and any("," in r.chosen_mask for r in got)
 
 
 def test_language_held_out(spark, docs, empty):
@@ -485,3 +542,88 @@ def test_models_are_learnt_from_a_bounded_number_of_rows(spark):
     positives = many.where("lang = 'en'").select("doc_id")
     got = quality_classifier(many, fit_quality(many, positives, n_positive=10, n_unlabelled=10)).collect()
     assert len(got) == 90 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_the_ladder_is_certified_on_what_the_base_rules_pass(spark):
+    """Good documents that the base rules reject prove nothing: with them alone there is no rule of the method."""
+    words = [f"word{i}" for i in range(40)]
+    short = [(i, "too short", "en") for i in range(300)]
+    marked = [(1000 + i, " ".join(f"{w}###" for w in words[:30]), "en") for i in range(30)]
+    df = spark.createDataFrame(short + marked, "doc_id long, text string, lang string")
+    good = spark.createDataFrame([(i, 1) for i, *_ in short], "doc_id long, quality int")
+    assert {r.kept for r in quality_rules(df, good).where("doc_id >= 1000").collect()} == {True}
+    fine = spark.createDataFrame(short + marked + [(2000 + i, " ".join(random.Random(i).sample(words, 30)), "en") for i in range(120)], "doc_id long, text string, lang string")
+    named = spark.createDataFrame([(2000 + i, 1) for i in range(120)], "id long, quality int")
+    got = {r.doc_id: r.kept for r in quality_rules(fine, named, label_id_col="id").collect()}
+    assert all(got[2000 + i] for i in range(120)) and not any(got[1000 + i] for i in range(30))
+
+
+def test_risk_and_its_gradient():
+    """The non-negative risk by its definition, and its gradient by differences."""
+    random_ = np.random.default_rng(1)
+    p, u, w, prior = random_.normal(1, 1, (30, 4)), random_.normal(0, 1, (50, 4)), random_.normal(0, 1, 5), 0.4
+    loss = lambda x, sign: np.mean([np.log(1 + np.exp(-sign * (sum(a * b for a, b in zip(row, w)) + w[-1]))) for row in x])
+    positive, negative, of_p, of_n = risk(w, p, u, prior)
+    assert abs(positive - prior * loss(p, 1)) < 1e-9 and abs(negative - (loss(u, -1) - prior * loss(p, -1))) < 1e-9
+    for k in range(5):
+        e = np.eye(5)[k] * 1e-6
+        a, b = risk(w + e, p, u, prior), risk(w - e, p, u, prior)
+        assert abs((a[0] - b[0]) / 2e-6 - of_p[k]) < 1e-5 and abs((a[1] - b[1]) / 2e-6 - of_n[k]) < 1e-5
+    # the model tells the two kinds apart though it has no negative labels
+    mixed = np.concatenate([random_.normal(1, 0.5, (400, 4)), random_.normal(-1, 0.5, (600, 4))])
+    v = fit_weights(random_.normal(1, 0.5, (300, 4)), mixed, 0.4, 300)
+    sure = mixed @ v[:-1] + v[-1] > 0
+    assert sure[:400].mean() > 0.95 and sure[400:].mean() < 0.05
+
+
+def test_prior_and_moments(spark):
+    random_ = np.random.default_rng(3)
+    positive, unlabelled = random_.normal(2, 1, 5000), np.concatenate([random_.normal(2, 1, 3000), random_.normal(-2, 1, 7000)])
+    at = np.quantile(positive, np.linspace(0, 0.8, 41))
+    got = prior_of(np.array([(positive >= t).mean() for t in at]), 5000, np.array([(unlabelled >= t).mean() for t in at]), 10000)
+    assert 0.29 < got < 0.33
+    texts = ["The cat.\nA dog!", "", None, "x" * 500, "one two one two"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    x = np.stack([quality_features((t or "").encode()) for t in texts])
+    mean, spread = moments(df)
+    assert np.allclose(mean, x.mean(axis=0), atol=1e-4) and np.allclose(spread, x.std(axis=0) + 1e-3, atol=2e-3)
+
+
+def test_ftrl_against_one_weight_at_a_time():
+    """Follow the regularised leader with one scalar update after the other."""
+    from weft.llm import language_id as m
+
+    random_ = np.random.default_rng(0)
+    rows = []
+    for i in range(12):
+        at = np.sort(random_.choice(40, 6, replace=False))
+        rows.append((at, random_.random(6), i % 3))
+    z, n = {}, {}
+    weight = lambda k, j: 0.0 if abs(z.get((k, j), 0.0)) <= m.L1 else -(z[k, j] - np.sign(z[k, j]) * m.L1) / ((m.BETA + n[k, j] ** 0.5) / m.ALPHA + m.L2)
+    order = np.random.default_rng(0)
+    for _ in range(2):
+        for i in order.permutation(len(rows)):
+            at, x, y = rows[i]
+            w = [[weight(k, j) for j in at] for k in range(3)]
+            logit = [sum(a * b for a, b in zip(r, x)) for r in w]
+            e = [np.exp(v - max(logit)) for v in logit]
+            for k in range(3):
+                g0 = e[k] / sum(e) - (k == y)
+                for j, xj, wj in zip(at, x, w[k]):
+                    g, was = g0 * xj, n.get((k, j), 0.0)
+                    z[k, j] = z.get((k, j), 0.0) + g - ((was + g * g) ** 0.5 - was**0.5) / m.ALPHA * wj
+                    n[k, j] = was + g * g
+    got = m.ftrl(rows, 3, epochs=2)
+    want = np.array([[weight(k, j) for j in range(40)] for k in range(3)])
+    assert np.allclose(got[:, :40], want) and not got[:, 40:].any() and (want == 0).any()
+
+
+def test_document_frequencies_and_rare_languages(spark):
+    texts = ["der hund", "the dog", None, "", "123", "the the dog"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got, n = document_frequencies(df, "text")
+    want = Counter(b for t in texts if (f := bins(t)) is not None for b in set(f.tolist()))
+    assert n == 3 and {int(b): int(c) for b, c in zip(np.flatnonzero(got), got[got > 0])} == want
+    rows = [(i, f"the dog and the cat {i}", "en") for i in range(400)] + [(1000 + i, "le chien et le chat", "fr") for i in range(5)]
+    model = fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=40, least=5)
+    assert model.langs == ["en", "fr"] and model.predict("le chat")[0] == "fr"

@@ -5,8 +5,9 @@ language). Severity 1 rejects least. For each stratum the highest severity is ta
 every lower one has an exact binomial (Clopper-Pearson) upper bound of at most `alpha` on the share of
 good documents rejected. Going up the ladder until the first failure is a fixed-sequence test, which
 needs no correction along the ladder; over the strata `delta` is divided by their number (Bonferroni).
-So with probability 1 - delta no stratum loses more than alpha of its good documents. A stratum with too
-few labels to prove anything has no rule of the method.
+So with probability 1 - delta the ladder takes from no stratum more than alpha of its good documents that
+pass the base rules, if labels fall by chance. What the base rules reject is not part of that promise. A
+stratum with too few labels to prove anything has no rule of the method.
 """
 
 from __future__ import annotations
@@ -128,17 +129,17 @@ def certified(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> Da
     return counts.select("stratum", limit.alias("limit"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA, row_col: str | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA, row_col: str | None = None, label_id_col: str = "doc_id") -> DataFrame:
     """One row per row of docs: the id, row_col if given, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, severity.
 
-    labels: doc_id, quality (1: good); a document with several rows is good if all that are not null say
+    labels: label_id_col, quality (1: good); a document with several rows is good if all that are not null say
     1. Without labels, or in an unlabelled stratum, only the base rules reject. A null stratum counts as
     the empty one. Null and empty texts have no words and fail the base rules. Repeated rows get the same
     verdict, an empty table no rows, and other columns are ignored.
     """
     stats = settle(text_statistics(docs, id_col, text_col, stratum_col, row_col))
-    good = labels.groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("q")).where("q = 1").select("id")
-    limits = certified(stats.join(good, "id", "left_semi"), alpha, delta)
+    good = labels.groupBy(F.col(label_id_col).alias("id")).agg(F.min("quality").alias("q")).where("q = 1").select("id")
+    limits = certified(stats.where("not base_failed").join(good, "id", "left_semi"), alpha, delta)
     judged = stats.join(limits, "stratum", "left")
     kept = ~F.col("base_failed") & (F.col("severity") > F.coalesce("limit", F.lit(0)))
     return judged.select(F.col("id").alias(id_col), *([row_col] if row_col else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "severity")
@@ -171,8 +172,9 @@ c AS (SELECT *, n_symbols / greatest(word_chars, 1) AS symbol_share, n_dup_lines
              n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
 v AS (SELECT *, least({", ".join(level(s) for s in LADDER)}) AS severity FROM c),
 good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1),
-n AS (SELECT stratum, count(*) AS n FROM v WHERE doc_id IN (FROM good) GROUP BY 1),
-k AS (SELECT n.stratum, n, j, (SELECT count(*) FROM v WHERE v.stratum = n.stratum AND v.severity <= j AND doc_id IN (FROM good)) AS k
+g AS (SELECT * FROM v WHERE NOT base_failed AND doc_id IN (FROM good)),
+n AS (SELECT stratum, count(*) AS n FROM g GROUP BY 1),
+k AS (SELECT n.stratum, n, j, (SELECT count(*) FROM g WHERE g.stratum = n.stratum AND g.severity <= j) AS k
       FROM n, range(1, {SEVERITIES + 1}) AS q(j)),
 p AS (SELECT stratum, j, k < n * {ALPHA} AND (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))
              FROM range(0, k + 1) AS e(i)) * (SELECT count(*) FROM n) <= {DELTA} AS ok FROM k),
