@@ -17,6 +17,7 @@ from weft.llm.exact_dedup import exact_dedup
 from weft.llm.mix_sources import cut, mix_sources
 from weft.llm.quality_rules import quality_rules
 from weft.llm.simhash_dedup import simhash_dedup
+from weft.runtime import forget
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -94,4 +95,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:
+            forget(spark, f"{place}/{k - 1}")  # only what the result reads stays
     return docs
