@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.registry import query, table
-from weft.runtime import iterate, numbered, settle
+from weft.runtime import iterate, kept, numbered, settle
 
 DAMPING, ITERATIONS = 0.85, 10
 
 
 def pagerank(edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
-    """(id, rank) after a number of iterations; nodes without out-edges share their rank with all. Each iteration is a join on src and a sum by dst."""
-    nodes = settle(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
-    n = nodes.count()
+    """(id, rank) after a number of iterations; nodes without out-edges share their rank with all.
+
+    Edges stay where they are, dealt by src, and nodes by id: an iteration is a join on the spot and one
+    shuffle, of the sums by dst.
+    """
+    edges = settle(edges.select("src", "dst"))
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    edges = settle(edges.join(degree, "src"))
-    ends = settle(nodes.join(degree, nodes.id == degree.src, "left_anti"))
-    loose_ends = not ends.isEmpty()
+    nodes = kept(settle(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().join(degree.withColumnRenamed("src", "id"), "id", "left")), "id")
+    edges = kept(edges, "src")
+    n, loose_ends = nodes.agg(F.count(F.lit(1)), F.count_if(F.isnull("degree"))).first()
 
     def step(rank: DataFrame) -> DataFrame:
-        given = edges.join(rank, edges.src == rank.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        loose = rank.join(ends, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar() if loose_ends else F.lit(0.0)
-        return nodes.join(given, "id", "left").select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)).alias("rank"))
+        given = edges.join(rank, edges.src == rank.id).groupBy(F.col("dst").alias("id")).agg(F.sum("gives").alias("got"))
+        loose = rank.where("gives is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar() if loose_ends else F.lit(0.0)
+        return _ranked(nodes.join(given, "id", "left"), F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + loose / n))
+
+    return iterate(_ranked(nodes, F.lit(1.0 / n)), step, iterations, every=1 if loose_ends else 5).select("id", "rank")  # a step that reads its input twice is cut each time
+
 
-    return iterate(nodes.withColumn("rank", F.lit(1.0 / n)), step, iterations, every=1 if loose_ends else 5)  # a step that reads its input twice is cut each time
+def _ranked(nodes: DataFrame, rank: Column) -> DataFrame:
+    return nodes.select("id", rank.alias("rank"), (rank / F.col("degree")).alias("gives"))
 
 
 def symmetrized(edges: DataFrame) -> DataFrame:
@@ -34,15 +41,16 @@ def symmetrized(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the least id of a node's component, by rounds of minimum labels with pointer jumping."""
-    both = settle(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    label = settle(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.min("src")).alias("component")))
+    """(id, component): the least id of a node's component, by rounds of minimum labels with pointer jumping. Links stay dealt by their ends; labels move."""
+    both = kept(settle(edges.select("src", "dst").union(edges.select("dst", "src")).distinct()), "dst")
+    label = settle(both.groupBy(F.col("dst").alias("id")).agg(F.least(F.min("dst"), F.min("src")).alias("component")))
     while True:
         near = both.join(label, both.dst == label.id).groupBy("src").agg(F.min("component").alias("m"))
         low = label.join(near, label.id == near.src).select("id", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         up = low.select(F.col("id").alias("component"), F.col("component").alias("jump"))
         after = settle(low.join(up, "component", "left").select("id", "was", F.least("component", F.coalesce("jump", "component")).alias("component")))
         if after.where("component != was").isEmpty():
+            both.unpersist()
             return after.select("id", "component")
         label = after.drop("was")
 

@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.learning import spmv
-from weft.registry import query, table
-from weft.runtime import settle
+from weft.operators.learning import _SOLUTION, chain, spmv, unsolved
+from weft.registry import query
+from weft.runtime import kept, settle
 
 
 def _product(matrix: DataFrame, state: DataFrame, of: str) -> DataFrame:
@@ -27,6 +27,7 @@ def lanczos(matrix: DataFrame, start: DataFrame, steps: int) -> list[tuple[float
     square = start.agg(F.sum(F.col("value") * F.col("value"))).first()[0]
     if not square:
         return []
+    matrix = kept(settle(matrix.select("row", "col", "value")), "col")
     state, beta, out = start.select("idx", (F.col("value") / math.sqrt(square)).alias("v"), F.lit(0.0).alias("u")), 0.0, []
     for _ in range(steps):
         both = _product(matrix, state, "v")
@@ -40,12 +41,14 @@ def lanczos(matrix: DataFrame, start: DataFrame, steps: int) -> list[tuple[float
     return out
 
 
-def symmetric_qmr(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-10, limit: int = 100) -> DataFrame:
+def symmetric_qmr(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-10, limit: int = 10_000) -> DataFrame:
     """(idx, value) with matrix * value = b, for a symmetric matrix that need not be positive.
 
     Coupled two-term recurrences whose residuals are smoothed. A round is one sparse product and brings
-    two sums and a maximum to the driver.
+    two sums and a maximum to the driver. Without a solution within the tolerance after `limit` rounds it
+    is an error.
     """
+    matrix = kept(settle(matrix.select("row", "col", "value")), "col")
     state = settle(b.select("idx", F.lit(0.0).alias("x"), F.col("value").alias("r"), F.col("value").alias("q"), F.lit(0.0).alias("d")))
     rho = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
     tau, theta = math.sqrt(rho or 0.0), 0.0
@@ -55,7 +58,7 @@ def symmetric_qmr(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-10, lim
         both = _product(matrix, state, "q")
         sigma = both.agg(F.sum(F.col("q") * F.col("t"))).first()[0]
         if sigma == 0.0:
-            break
+            raise ArithmeticError("no way on: the matrix takes the direction to one at right angles")
         alpha = rho / sigma
         both = both.withColumn("r", F.col("r") - alpha * F.col("t"))
         worst, now = both.agg(F.max(F.abs("r")), F.sum(F.col("r") * F.col("r"))).first()
@@ -66,26 +69,25 @@ def symmetric_qmr(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-10, lim
         rho, theta, tau = now, ratio, tau * ratio * math.sqrt(share)
         if worst <= tolerance:
             break
+    else:
+        raise unsolved(limit)
     return state.select("idx", F.col("x").alias("value"))
 
 
-def _chain(spark, d):
-    """The tridiagonal matrix (-1, 2, -1) with a row for each nation."""
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("row"))
-    a = n.select("row", F.explode(F.expr("filter(array(row - 1, row, row + 1), x -> x between 0 and 24)")).alias("col"))
-    return n, a.withColumn("value", F.when(F.col("row") == F.col("col"), 2.0).otherwise(-1.0))
+_STEPS = 5
 
 
-@query("m5_lanczos", "SELECT n_nationkey::BIGINT AS step, 2.0::DOUBLE AS diagonal, 1.0::DOUBLE AS beside FROM nation WHERE n_nationkey < 6")
+@query("m5_lanczos", f"SELECT * FROM (VALUES {', '.join(f'({k}::BIGINT, 4.0::DOUBLE, 1.0::DOUBLE)' for k in range(_STEPS))}) t(step, diagonal, beside)")
 def _lanczos(spark, d):
-    """From the first unit vector the matrix is its own tridiagonal form."""
-    n, a = _chain(spark, d)
-    start = n.select(F.col("row").alias("idx"), F.when(F.col("row") == 0, 1.0).otherwise(0.0).alias("value"))
-    rows = [(k, round(x, 9), round(y, 9)) for k, (x, y) in enumerate(lanczos(settle(a), start, 6))]
+    """From the first unit vector the matrix of a chain is its own tridiagonal form."""
+    a, x, _ = chain(spark, d)
+    first = x.agg(F.min("idx").alias("lo"))
+    start = x.crossJoin(first).select("idx", F.when(F.col("idx") == F.col("lo"), 1.0).otherwise(0.0).alias("value"))  # of one row
+    rows = [(k, round(p, 9), round(q, 9)) for k, (p, q) in enumerate(lanczos(a, start, _STEPS))]
     return spark.createDataFrame(rows, "step long, diagonal double, beside double")
 
 
-@query("m5_symmetric_qmr", "SELECT n_nationkey::BIGINT AS idx, round(((n_nationkey + 1) * (25 - n_nationkey) / 2.0)::DOUBLE, 6) AS value FROM nation")
+@query("m5_symmetric_qmr", _SOLUTION)
 def _qmr(spark, d):
-    n, a = _chain(spark, d)
-    return symmetric_qmr(settle(a), n.select(F.col("row").alias("idx"), F.lit(1.0).alias("value"))).withColumn("value", F.round("value", 6))
+    a, _, b = chain(spark, d)
+    return symmetric_qmr(a, b).withColumn("value", F.round("value", 6))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weft.registry import query, table
-from weft.runtime import iterate, settle
+from weft.runtime import iterate, kept, settle
 
 
 def logistic_regression(samples: DataFrame, features: list[str], iterations: int = 10, rate: float = 0.1) -> list[float]:
@@ -79,11 +79,27 @@ def _spmv(spark, d):
     return spmv(a, x).withColumn("value", F.round("value", 4))
 
 
-def conjugate_gradient(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-10, limit: int = 100) -> DataFrame:
+def unsolved(limit: int) -> ArithmeticError:
+    return ArithmeticError(f"no solution within the tolerance after {limit} rounds")
+
+
+def inner(a: str, b: str) -> Column:
+    """The inner product of two columns of a vector."""
+    return F.sum(F.col(a) * F.col(b))
+
+
+def convergence_norm(residual: str) -> Column:
+    """The largest size of a residual's elements: what a solver compares with its tolerance."""
+    return F.max(F.abs(residual))
+
+
+def conjugate_gradient(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-10, limit: int = 10_000) -> DataFrame:
     """(idx, value) with matrix * value = b, for a symmetric positive matrix, preconditioned by its diagonal.
 
-    Vectors stay distributed; each round brings two sums and a maximum to the driver.
+    The matrix stays where it is, dealt by column; vectors move. Each round brings two sums and a maximum
+    to the driver. Without a solution within the tolerance after `limit` rounds it is an error.
     """
+    matrix = kept(settle(matrix.select("row", "col", "value")), "col")
     diagonal = matrix.where("row = col").select(F.col("row").alias("idx"), F.col("value").alias("c"))
     state = settle(b.join(diagonal, "idx").select("idx", "c", F.lit(0.0).alias("x"), F.col("value").alias("r"), (F.col("value") / F.col("c")).alias("p")))
     rho = state.agg(F.sum(F.col("r") * F.col("r") / F.col("c"))).first()[0]
@@ -92,29 +108,81 @@ def conjugate_gradient(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-10
             break
         t = spmv(matrix, state.select("idx", F.col("p").alias("value"))).withColumnRenamed("value", "t")
         both = settle(state.join(t, "idx", "left").withColumn("t", F.coalesce("t", F.lit(0.0))))
-        alpha = rho / both.agg(F.sum(F.col("p") * F.col("t"))).first()[0]
+        alpha = rho / both.agg(inner("p", "t")).first()[0]
         state = both.select("idx", "c", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("t")).alias("r"), "p")
-        worst, again = state.agg(F.max(F.abs("r")), F.sum(F.col("r") * F.col("r") / F.col("c"))).first()
+        worst, again = state.agg(convergence_norm("r"), F.sum(F.col("r") * F.col("r") / F.col("c"))).first()
         if worst <= tolerance:
             break
         state = settle(state.withColumn("p", F.col("r") / F.col("c") + (again / rho) * F.col("p")))
         rho = again
+    else:
+        raise unsolved(limit)
     return state.select("idx", F.col("x").alias("value"))
 
 
-@query("m4_conjugate_gradient", "SELECT n_nationkey::BIGINT AS idx, round(b, 6) AS value FROM (SELECT n_nationkey, ((n_nationkey + 1) * (25 - n_nationkey) / 2.0)::DOUBLE AS b FROM nation)")
+def chain(spark, d):
+    """A symmetric matrix with a row for each customer, 4 for itself and -1 for those beside it, a solution and what the matrix makes of it."""
+    k = F.col("c_custkey")
+    n = table(spark, d, "customer").select(k.cast("long").alias("row"))
+    top = n.agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
+    near = n.crossJoin(top).select("row", F.explode(F.expr("filter(array(row - 1, row, row + 1), x -> x between lo and hi)")).alias("col"))  # of one row
+    a = near.withColumn("value", F.when(F.col("row") == F.col("col"), 4.0).otherwise(-1.0))
+    x = n.select(F.col("row").alias("idx"), (F.col("row") % 7 - F.lit(2.5)).alias("value"))
+    return a, x, spmv(a, x)
+
+
+_SOLUTION = "SELECT c_custkey AS idx, round(c_custkey % 7 - 2.5, 6)::DOUBLE AS value FROM customer"
+
+
+@query("m4_conjugate_gradient", _SOLUTION)
 def _cg(spark, d):
-    """The tridiagonal system (-1, 2, -1) of 25 unknowns with ones at the right."""
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("row"))
-    a = n.select("row", F.explode(F.expr("filter(array(row - 1, row, row + 1), x -> x between 0 and 24)")).alias("col")).withColumn("value", F.when(F.col("row") == F.col("col"), 2.0).otherwise(-1.0))
-    return conjugate_gradient(a, n.select(F.col("row").alias("idx"), F.lit(1.0).alias("value"))).withColumn("value", F.round("value", 6))
+    a, _, b = chain(spark, d)
+    return conjugate_gradient(a, b).withColumn("value", F.round("value", 6))
+
+
+@query("m6_system_norms", "WITH x AS (SELECT c_custkey AS i, c_custkey % 7 - 2.5::DOUBLE AS v FROM customer), b AS (SELECT i, 4 * v - coalesce(lag(v) OVER w, 0) - coalesce(lead(v) OVER w, 0) AS b, v FROM x WINDOW w AS (ORDER BY i)) SELECT round(max(abs(b)), 6) AS norm, round(sum(b * v), 4) AS inner_product FROM b")
+def _norms(spark, d):
+    """A product with a matrix, its convergence norm, and its inner product with a vector."""
+    _, x, b = chain(spark, d)
+    both = b.withColumnRenamed("value", "b").join(x, "idx")
+    return both.agg(F.round(convergence_norm("b"), 6).alias("norm"), F.round(inner("b", "value"), 4).alias("inner_product"))
+
+
+def compressed(matrix: DataFrame, n: int) -> DataFrame:
+    """One row (n, offsets, columns, elements, diagonal_at) of a small matrix (row, col, value): per row where its elements start, and where its diagonal one is, -1 without one. For a part of a partitioned matrix, as it is one row."""
+    rows = matrix.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("e"))
+    every = matrix.sparkSession.range(n).select(F.col("id").alias("row")).join(rows, "row", "left").select("row", F.coalesce("e", F.array().cast("array<struct<col:bigint,value:double>>")).alias("e"))
+    one = every.agg(F.array_sort(F.collect_list(F.struct("row", "e"))).alias("r")).select(F.transform("r", lambda x: x["e"]).alias("r"))
+    sizes = F.transform("r", lambda x: F.size(x))
+    offsets = F.transform(F.sequence(F.lit(0), F.size("r")), lambda k: F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda a, x: a + x))
+    flat = F.flatten("r")
+    diagonal = F.transform("r", lambda x, i: F.array_position(F.transform(x, lambda y: y["col"]), i.cast("long")) - 1)
+    return one.select(F.lit(n).alias("n"), offsets.alias("offsets"), F.transform(flat, lambda x: x["col"]).alias("columns"), F.transform(flat, lambda x: x["value"]).alias("elements"), diagonal.cast("array<int>").alias("diagonal_at"))
+
+
+def expanded(matrix: DataFrame) -> DataFrame:
+    """(row, col, value) of a compressed matrix."""
+    row = matrix.select(F.posexplode(F.slice("offsets", F.lit(2), F.size("offsets") - 1)).alias("row", "end"), "offsets", "columns", "elements")
+    row = row.withColumn("start", F.get("offsets", F.col("row"))).where("start < end")
+    at = row.select("row", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("at"), "columns", "elements")
+    return at.select(F.col("row").cast("long").alias("row"), F.get("columns", F.col("at")).alias("col"), F.get("elements", F.col("at")).alias("value"))
+
+
+@query("m7_compressed_matrix", "SELECT DISTINCT n_regionkey::BIGINT AS row, (n_nationkey % 5)::BIGINT AS col, (n_regionkey * 5 + n_nationkey % 5)::DOUBLE AS value FROM nation")
+def _compressed(spark, d):
+    """To the format with a header and back."""
+    n = table(spark, d, "nation")
+    a = n.select(F.col("n_regionkey").cast("long").alias("row"), (F.col("n_nationkey") % 5).cast("long").alias("col")).distinct().withColumn("value", (F.col("row") * 5 + F.col("col")).cast("double"))
+    return expanded(compressed(a, 5))
 
 
-def conjugate_residual(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-10, limit: int = 100) -> DataFrame:
+def conjugate_residual(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-10, limit: int = 10_000) -> DataFrame:
     """(idx, value) with matrix * value = b, for a symmetric matrix that need not be positive.
 
-    Vectors stay distributed; each round is one sparse product and brings two sums and a maximum to the driver.
+    Vectors stay distributed; each round is one sparse product and brings two sums and a maximum to the
+    driver. Without a solution within the tolerance after `limit` rounds it is an error.
     """
+    matrix = kept(settle(matrix.select("row", "col", "value")), "col")
 
     def product(state: DataFrame) -> DataFrame:
         t = spmv(matrix, state.select("idx", F.col("r").alias("value"))).withColumnRenamed("value", "ar")
@@ -124,22 +192,24 @@ def conjugate_residual(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-10
     state, before = settle(product(start)), None
     for _ in range(limit):
         worst, now = state.agg(F.max(F.abs("r")), F.sum(F.col("r") * F.col("ar"))).first()
-        if worst is None or worst <= tolerance or now == 0.0:
+        if worst is None or worst <= tolerance:
             break
+        if now == 0.0:
+            raise ArithmeticError("the residual stays: the matrix takes it to one at right angles")
         beta = now / before if before else 0.0
         state = settle(state.withColumns({"p": F.col("r") + beta * F.col("p"), "ap": F.col("ar") + beta * F.col("ap")}))
         alpha = now / state.agg(F.sum(F.col("ap") * F.col("ap"))).first()[0]
         state = settle(product(state.select("idx", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p", "ap")))
         before = now
+    else:
+        raise unsolved(limit)
     return state.select("idx", F.col("x").alias("value"))
 
 
-@query("m5_conjugate_residual", "SELECT n_nationkey::BIGINT AS idx, round(((n_nationkey + 1) * (25 - n_nationkey) / 2.0)::DOUBLE, 6) AS value FROM nation")
+@query("m5_conjugate_residual", _SOLUTION)
 def _cr(spark, d):
-    """The tridiagonal system (-1, 2, -1) of 25 unknowns with ones at the right."""
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("row"))
-    a = n.select("row", F.explode(F.expr("filter(array(row - 1, row, row + 1), x -> x between 0 and 24)")).alias("col")).withColumn("value", F.when(F.col("row") == F.col("col"), 2.0).otherwise(-1.0))
-    return conjugate_residual(a, n.select(F.col("row").alias("idx"), F.lit(1.0).alias("value"))).withColumn("value", F.round("value", 6))
+    a, _, b = chain(spark, d)
+    return conjugate_residual(a, b).withColumn("value", F.round("value", 6))
 
 
 def heat(grid: DataFrame, n: int, steps: int, factor: float) -> DataFrame:

@@ -19,6 +19,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys once and held in memory or on the executors' disks, so that joins and sums by these keys move only what they are joined with. What an executor loses is made again from df, which should be a table or a checkpoint."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = df.repartition(n, *keys).persist()
+    held.count()  # how it is dealt is known once it is there
+    return held
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a folder of our own, wherever the cluster keeps it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
