@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,18 @@ def quadratic_roots(a: Column, b: Column, c: Column) -> Column:
     return F.when(a == 0, linear).when(d < 0, none).when(q == 0, F.array(F.lit(0.0))).when(d == 0, F.array(q / a)).otherwise(F.array_sort(F.array(q / a, c / q)))
 
 
+def cubic_roots(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """The real roots of a x^3 + b x^2 + c x + d, ascending: by angles where there are three, else by cube roots; of a = 0 those of the quadratic. Roots that coincide are given as often as rounding tells them apart."""
+    p, q = (3 * a * c - b * b) / (3 * a * a), (2 * b * b * b - 9 * a * b * c + 27 * a * a * d) / (27 * a * a * a)
+    shift, inside = -b / (3 * a), q * q / 4 + p * p * p / 27
+    size = 2 * F.sqrt(F.greatest(-p / 3, F.lit(0.0)))
+    angle = F.acos(F.greatest(F.least(3 * q / (p * size), F.lit(1.0)), F.lit(-1.0))) / 3
+    three = F.array_sort(F.array(*(size * F.cos(angle - 2 * math.pi * k / 3) + shift for k in range(3))))
+    root = F.sqrt(F.greatest(inside, F.lit(0.0)))
+    one = F.array(F.cbrt(-q / 2 + root) + F.cbrt(-q / 2 - root) + shift)
+    return F.when(a == 0, quadratic_roots(b, c, d)).when((inside < 0) & (p < 0), three).otherwise(one)
+
+
 def newton_coefficients(x: list[float], y: list[Column]) -> list[Column]:
     """The divided differences of values y at places x."""
     table_, out = list(y), [y[0]]
@@ -46,38 +59,42 @@ def fourier(rows: DataFrame, id_col: str, array_col: str, shape: tuple[int, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, values in zip(batch.column(0), batch.column(1).to_pylist()):
-                if values:
-                    z = np.fft.fftn(np.array(values, dtype=np.float64).reshape(shape or -1)).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(z), batch.column(0).type), pa.array(np.arange(len(z)), pa.int32()), pa.array(z.real), pa.array(z.imag)], ["id", "k", "re", "im"])
+            values = batch.column(1)
+            sizes = np.array([len(v) if v else 0 for v in values.to_pylist()])
+            for n in np.unique(sizes[sizes > 0]):  # arrays of one size are transformed together
+                at = np.flatnonzero(sizes == n)
+                stack = np.array(values.take(pa.array(at)).to_pylist(), dtype=np.float64)
+                z = np.fft.fftn(stack.reshape(-1, *(shape or (n,))), axes=range(1, 1 + len(shape or (n,)))).ravel()
+                ids = batch.column(0).take(pa.array(np.repeat(at, n)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(n), len(at)), pa.int32()), pa.array(z.real), pa.array(z.imag)], ["id", "k", "re", "im"])
 
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.select(id_col, F.col(array_col).cast("array<double>")).mapInArrow(run, f"id {kind}, k int, re double, im double").withColumnRenamed("id", id_col)
 
 
-#: Per dimension after the first the degree, inner coefficients and first numbers of its primitive polynomial.
-SOBOL = ((1, 0, (1,)), (2, 1, (1, 3)), (3, 1, (1, 3, 1)), (3, 2, (1, 1, 1)), (4, 1, (1, 1, 3, 3)))
+#: Per dimension the degree of its primitive polynomial, its inner coefficients, of which bit i - 1 is that of the i-th number back, and its first numbers.
+SOBOL = ((1, 0, (1,)), (2, 1, (1, 1)), (3, 1, (1, 3, 7)), (3, 2, (1, 3, 3)))
 _BITS = 32
 
 
 def sobol_directions(dimension: int) -> list[int]:
-    """The numbers, of 32 bits, whose exclusive or by the bits of n is the n-th point's place along a dimension, from 0."""
-    if dimension == 0:
-        return [1 << (_BITS - k) for k in range(1, _BITS + 1)]
-    degree, inner, first = SOBOL[dimension - 1]
-    out = [m << (_BITS - k) for k, m in enumerate(first, 1)]
-    while len(out) < _BITS:
-        v = out[-degree] ^ (out[-degree] >> degree)
+    """The numbers of a dimension, from 0, each moved up to 32 bits."""
+    degree, inner, first = SOBOL[dimension]
+    m = list(first)
+    while len(m) < _BITS:
+        now = m[-degree] << degree ^ m[-degree]
         for i in range(1, degree):
-            v ^= out[-i] * (inner >> (degree - 1 - i) & 1)
-        out.append(v)
-    return out
+            now ^= (m[-i] << i) * (inner >> (i - 1) & 1)
+        m.append(now)
+    return [x << (_BITS - j) for j, x in enumerate(m, 1)]
 
 
 def sobol(n: Column, dimension: int) -> Column:
-    """The n-th Sobol point's place along a dimension, in [0, 1); n below 2^32."""
+    """The place along a dimension, in [0, 1), of the n-th Sobol point, from 0, in Gray order and without the origin; n below 2^32 - 1."""
     v = F.array(*map(F.lit, sobol_directions(dimension))).cast("array<bigint>")
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(_BITS - 1)), F.lit(0).cast("long"), lambda a, i: a.bitwiseXOR(F.get(v, i) * F.getbit(n.cast("long"), i)))
+    k = n.cast("long") + 1
+    gray = k.bitwiseXOR(F.shiftright(k, 1))
+    bits = F.aggregate(F.sequence(F.lit(0), F.lit(_BITS - 1)), F.lit(0).cast("long"), lambda a, i: a.bitwiseXOR(F.get(v, i) * F.getbit(gray, i)))
     return bits.cast("double") / float(1 << _BITS)
 
 
@@ -131,15 +148,34 @@ def _fourier_2d(spark, d):
     return out.select("vec_id", "k", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("re", "im")))
 
 
-def _sobol_sql(dimension: int) -> str:
-    return f"list_reduce(list_transform(range(32), lambda i: ((o_orderkey >> i) & 1) * {sobol_directions(dimension)}[i + 1]), lambda a, b: xor(a, b)) / 4294967296.0::DOUBLE"
+#: The recurrence written out in SQL, and points one after the other: each flips the number of its predecessor's lowest zero bit.
+_SOBOL_SQL = """WITH RECURSIVE m(dim, degree, inner_, j, list) AS (
+  SELECT * FROM (VALUES (0, 1, 0, 1, [1::BIGINT]), (1, 2, 1, 2, [1::BIGINT, 1]), (2, 3, 1, 3, [1::BIGINT, 3, 7]))
+  UNION ALL SELECT dim, degree, inner_, j + 1, list_append(list, xor(xor(xor(list[j + 1 - degree] << degree, list[j + 1 - degree]),
+    CASE WHEN degree > 1 AND inner_ & 1 = 1 THEN list[j] << 1 ELSE 0 END), CASE WHEN degree > 2 AND inner_ & 2 = 2 THEN list[j - 1] << 2 ELSE 0 END)) FROM m WHERE j < 32),
+v AS (SELECT dim, list_transform(list, lambda x, i: x << (32 - i)) AS v FROM m WHERE j = 32),
+k AS (SELECT o_orderkey, o_orderkey + 1 AS k FROM orders),
+g AS (SELECT o_orderkey, dim, list_reduce(list_transform(range(32), lambda i: ((xor(k, k >> 1) >> i) & 1) * v[i + 1]), lambda a, b: xor(a, b)) / 4294967296.0::DOUBLE AS p FROM k, v)
+SELECT o_orderkey, max(p) FILTER (dim = 0) AS x, max(p) FILTER (dim = 1) AS y, max(p) FILTER (dim = 2) AS z FROM g GROUP BY 1"""
 
 
-@query("f34_sobol", f"SELECT o_orderkey, {_sobol_sql(0)} AS x, {_sobol_sql(1)} AS y, {_sobol_sql(2)} AS z FROM orders")
+@query("f34_sobol", _SOBOL_SQL)
 def _sobol(spark, d):
     return table(spark, d, "orders").select("o_orderkey", *(sobol(F.col("o_orderkey"), k).alias(c) for k, c in enumerate("xyz")))
 
 
+@query("f35_cubic_roots", "SELECT p_partkey, [round(r, 5), round(r + 1 + p_size % 5, 5), round(r + 7 + p_size % 3, 5)] AS roots, [round(r, 5)] AS single FROM (SELECT *, (p_partkey % 21 - 10)::DOUBLE AS r FROM part)")
+def _cubic(spark, d):
+    """Cubics made of three roots, and of one root with a quadratic that has none."""
+    r = (F.col("p_partkey") % 21 - 10).cast("double")
+    s, t = r + 1 + F.col("p_size") % 5, r + 7 + F.col("p_size") % 3
+    two = F.lit(2.0)
+    three = cubic_roots(two, -two * (r + s + t), two * (r * s + s * t + t * r), -two * r * s * t)
+    single = cubic_roots(F.lit(1.0), -r, F.lit(9.0), -9 * r)
+    shown = lambda a: F.transform(a, lambda x: F.round(x, 5) + F.lit(0.0))
+    return table(spark, d, "part").select("p_partkey", shown(three).alias("roots"), shown(single).alias("single"))
+
+
 @query("f34_piecewise", "SELECT o_orderkey, round(CASE WHEN u < 0.25 THEN u / 0.25 WHEN u < 0.75 THEN 1 + (u - 0.25) / 0.5 * 3 ELSE 4 + (u - 0.75) / 0.25 * 6 END, 6) AS value FROM (SELECT o_orderkey, ('0x' || md5(o_orderkey::VARCHAR || ':7')[1:13])::BIGINT / 4503599627370496.0::DOUBLE AS u FROM orders)")
 def _piecewise(spark, d):
     value = piecewise_density(uniform(F.col("o_orderkey"), 7), [0.0, 1.0, 4.0, 10.0], [1.0, 2.0, 1.0])

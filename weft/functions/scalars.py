@@ -89,11 +89,26 @@ def _logs(spark, d):
     return table(spark, d, "part").select("p_partkey", F.floor(F.log2(s)).cast("int").alias("ilog"), (F.bit_count(s) == 1).alias("power"), F.pow(F.lit(2.0), F.ceil(F.log2(s))).cast("long").alias("next_power"), s.bitwiseAND(-s).alias("low_bit"))
 
 
-@query("f26_robust", "SELECT l_orderkey, l_linenumber, round(CASE WHEN abs(l_discount) < 1e-8 THEN 1 ELSE sin(l_discount) / l_discount END, 8) AS sinc, round(CASE WHEN abs(l_discount) < 1e-8 THEN 0 ELSE (1 - cos(l_discount)) / l_discount END, 8) AS versin, round(0.25 * l_discount + 0.75 * l_tax, 8) AS lerp, isnan(l_tax) AS no_number FROM lineitem")
+def sinc(x: Column) -> Column:
+    """sin(x) / x, 1 at 0."""
+    return F.when(F.abs(x) < 1e-8, 1.0).otherwise(F.sin(x) / x)
+
+
+def one_minus_cos_over(x: Column, power: int = 1) -> Column:
+    """(1 - cos(x)) / x, or over x squared, by the half angle, which loses no digits near 0."""
+    half = sinc(x / 2)
+    return x * half * half / 2 if power == 1 else half * half / 2
+
+
+def atan2_over(y: Column, x: Column) -> Column:
+    """atan2(y, x) / y, and its limit 1 / x at y = 0 for positive x."""
+    return F.when((F.abs(y) < 1e-8) & (x > 0), 1 / x).otherwise(F.atan2(y, x) / y)
+
+
+@query("f26_robust", "SELECT l_orderkey, l_linenumber, round(CASE WHEN abs(x) < 1e-8 THEN 1 ELSE sin(x) / x END, 8) AS sinc, round(CASE WHEN abs(x) < 1e-8 THEN 0 ELSE (1 - cos(x)) / x END, 8) AS versin, round(CASE WHEN abs(x) < 1e-8 THEN 0.5 ELSE (1 - cos(x)) / (x * x) END, 8) AS versin2, round(CASE WHEN abs(x) < 1e-8 THEN 1 / l_quantity ELSE atan2(x, l_quantity) / x END, 8) AS slope, round(0.25 * x + 0.75 * l_tax, 8) AS lerp, isnan(l_tax) AS no_number FROM (SELECT *, l_discount AS x FROM lineitem)")
 def _robust(spark, d):
     x = F.col("l_discount")
-    small = F.abs(x) < 1e-8
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.when(small, 1.0).otherwise(F.sin(x) / x), 8).alias("sinc"), F.round(F.when(small, 0.0).otherwise((1 - F.cos(x)) / x), 8).alias("versin"), F.round(0.25 * x + 0.75 * F.col("l_tax"), 8).alias("lerp"), F.isnan("l_tax").alias("no_number"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(sinc(x), 8).alias("sinc"), F.round(one_minus_cos_over(x), 8).alias("versin"), F.round(one_minus_cos_over(x, 2), 8).alias("versin2"), F.round(atan2_over(x, F.col("l_quantity")), 8).alias("slope"), F.round(0.25 * x + 0.75 * F.col("l_tax"), 8).alias("lerp"), F.isnan("l_tax").alias("no_number"))
 
 
 @query("f12_array_math", "SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 8) AS dot, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE * 0.5)), 8) AS scaled, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 8) AS abs_sum, round(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))), 8) AS maxabs, list_reverse(embedding)[1]::DOUBLE AS last, (list_sort(embedding))[1]::DOUBLE AS least, round(list_max(list_transform(list_zip(embedding, list_reverse(embedding)), lambda p: greatest(p[1], p[2])))::DOUBLE, 8) AS pair_max FROM embeddings")

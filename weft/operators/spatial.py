@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weft.registry import query, table
+from weft.runtime import numbered, settle
 
 
 def _bins(points: DataFrame, size: float, reach: int) -> DataFrame:
@@ -106,14 +107,70 @@ def _plane(spark, d):
     return p.select("id", plane_side(["x", "y"], ["hx", "hy"], [1.0, -1.0], 10.0).alias("side"))
 
 
+def half_space_share(low: list[str], high: list[str], axis: int, offset: float) -> Column:
+    """The size of the part of a box that lies below offset along an axis."""
+    size = F.lit(1.0)
+    for k, (lo, hi) in enumerate(zip(low, high)):
+        top = F.greatest(F.least(F.col(hi), F.lit(offset)), F.col(lo)) if k == axis else F.col(hi)
+        size = size * (top - F.col(lo))
+    return size
+
+
+def kd_cells(points: DataFrame, depth: int) -> DataFrame:
+    """(id, cell, axis, value) of points (id, x, y) in a tree that is cut in two `depth` times, at the lower median, x and y in turn: the leaf, from 0, and the last cut above it. A round numbers all points and joins them with as many cuts as there are cells."""
+    now = points.select("id", "x", "y", F.lit(0).cast("long").alias("cell"))
+    for k in range(depth):
+        axis = "xy"[k % 2]
+        placed = numbered(now, ["cell", axis, "id"], "place").drop("value")
+        middle = placed.groupBy("cell").agg((F.min("place") + F.floor((F.count(F.lit(1)) - 1) / 2)).alias("place"))
+        cuts = placed.join(middle, ["cell", "place"]).select("cell", F.col(axis).alias("value"))
+        cuts = F.broadcast(cuts) if 1 << k <= 4096 else cuts
+        now = settle(placed.drop("place").join(cuts, "cell").select("id", "x", "y", (F.col("cell") * 2 + (F.col(axis) > F.col("value")).cast("long")).alias("cell"), "value"))
+    return now.select("id", "cell", F.lit("xy"[(depth - 1) % 2]).alias("axis"), "value")
+
+
+@query("v8_near_surface", f"WITH {_POINTS} SELECT id, x, y FROM p WHERE abs(sqrt((x - 100) * (x - 100) + (y - 85) * (y - 85)) - 60) <= 3")
+def _near_surface(spark, d):
+    """Points within 3 of a circle's line."""
+    away = F.abs(F.sqrt((F.col("x") - 100) * (F.col("x") - 100) + (F.col("y") - 85) * (F.col("y") - 85)) - 60)
+    return _points(spark, d).where(away <= 3).select("id", "x", "y")
+
+
+@query("v9_outside_spheres", f"WITH {_POINTS}, s AS (SELECT s_suppkey AS id, s_suppkey * 53 % 200 AS x, s_suppkey * 29 % 170 AS y FROM supplier) SELECT id FROM p a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE {_SQUARE} <= 25)")
+def _outside(spark, d):
+    """Points outside of all spheres."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 53 % 200).alias("x"), (F.col("s_suppkey") * 29 % 170).alias("y"))
+    p = _points(spark, d)
+    return p.select("id").join(near_pairs(s, p, 5.0).select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+
+
+@query("v11_half_space", f"WITH {_POINTS} SELECT id, ((greatest(least(x + p_size, 100), x) - x) * 2.0::DOUBLE) AS size FROM p")
+def _half(spark, d):
+    p = _points(spark, d).withColumns({"hx": F.col("x") + F.col("p_size"), "hy": F.col("y") + 2})
+    return p.select("id", half_space_share(["x", "y"], ["hx", "hy"], 0, 100.0).alias("size"))
+
+
+def _kd_sql(depth: int) -> str:
+    out = "k0 AS MATERIALIZED (SELECT id, x, y, 0 AS cell, 0 AS value FROM p)"
+    for k in range(depth):
+        axis = "xy"[k % 2]
+        out += f", c{k} AS MATERIALIZED (SELECT cell, quantile_disc({axis}, 0.5) AS value FROM k{k} GROUP BY 1), k{k + 1} AS MATERIALIZED (SELECT id, x, y, cell * 2 + ({axis} > c.value)::INT AS cell, c.value FROM k{k} JOIN c{k} c USING (cell))"
+    return out
+
+
+@query("v14_kd_cells", f"WITH {_POINTS}, {_kd_sql(4)} SELECT id, cell::BIGINT AS cell, 'y' AS axis, value FROM k4")
+def _kd(spark, d):
+    return kd_cells(_points(spark, d), 4)
+
+
 def _axis_sql(axis: str) -> str:
     return f"SELECT id, max(CASE WHEN h IS NULL OR low >= h THEN low END) OVER (ORDER BY low, id ROWS UNBOUNDED PRECEDING) AS {axis} FROM (SELECT id, {axis} AS low, max({axis} + p_size % 2 + 1) OVER (ORDER BY {axis}, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM q)"
 
 
-@query("v10_axis_clusters", f"WITH q AS (SELECT p_partkey AS id, p_partkey * 37 % 9973 AS x, p_partkey * 91 % 9967 AS y, p_size FROM part) SELECT id, a.x, b.y FROM ({_axis_sql('x')}) a JOIN ({_axis_sql('y')}) b USING (id)")
+@query("v10_axis_clusters", f"WITH q AS (SELECT p_partkey AS id, p_partkey * 5 + p_partkey * 37 % 11 AS x, p_partkey * 7 + p_partkey * 91 % 13 AS y, p_size FROM part) SELECT id, a.x, b.y FROM ({_axis_sql('x')}) a JOIN ({_axis_sql('y')}) b USING (id)")
 def _axes(spark, d):
-    """Parts as boxes of one or two cells a side: those that share both clusters may meet."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 9973).alias("x"), (F.col("p_partkey") * 91 % 9967).alias("y"), (F.col("p_size") % 2 + 1).alias("side"))
+    """Parts as boxes of one or two cells a side, on axes that grow with them: those that share both clusters may meet."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 5 + F.col("p_partkey") * 37 % 11).alias("x"), (F.col("p_partkey") * 7 + F.col("p_partkey") * 91 % 13).alias("y"), (F.col("p_size") % 2 + 1).alias("side"))
     x, y = (axis_clusters(p.select("id", F.col(a).alias("low"), (F.col(a) + F.col("side")).alias("high")), 1024).withColumnRenamed("cluster", a) for a in ("x", "y"))
     return x.join(y, "id")
 
