@@ -1,12 +1,14 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from weft.functions.scalars import escape, unescape
-from weft.functions import numeric
-from weft.operators import graph, grids, krylov, learning, regions, sets, simulation, spatial
-from weft.sources import files
-from weft.streaming.windows import first_seen, windowed
+from weft.functions import arrays, numeric
+from weft.operators import extension, graph, grids, jobs, krylov, learning, regions, sets, simulation, spatial, versions
+from weft.runtime import numbered
+from weft.sources import files, texts
+from weft.streaming.windows import first_seen, sessions, windowed
 
 
 def test_entry_has_sql_only_for_queries():
@@ -205,11 +207,12 @@ def test_axis_clusters_partitions_and_local_grids(spark):
 
 
 def test_points_of_low_discrepancy_and_densities(spark):
-    rows = spark.range(64).select(*(numeric.sobol(F.col("id"), k).alias(f"x{k}") for k in range(6))).collect()
-    assert [r["x0"] for r in rows[:4]] == [0.0, 0.5, 0.25, 0.75]
-    for k in range(6):
-        assert sorted(int(r[k] * 64) for r in rows) == list(range(64))  # one in each cell
-    assert len({(int(r[0] * 8), int(r[1] * 8)) for r in rows}) == 64
+    rows = spark.range(63).select(*(numeric.sobol(F.col("id"), k).alias(f"x{k}") for k in range(4))).collect()
+    # by hand: the numbers of x + 1 are 1, 3, 5, 15, ..., and each point flips that of its predecessor's lowest zero bit
+    assert [r["x0"] for r in rows[:4]] == [0.5, 0.25, 0.75, 0.375] and [r["x1"] for r in rows[:4]] == [0.5, 0.75, 0.25, 0.625]
+    for k in range(4):
+        assert sorted(int(r[k] * 64) for r in rows) == list(range(1, 64))  # one in each cell, the origin left out
+    assert len({(int(r[0] * 8), int(r[1] * 8)) for r in rows}) == 63
     u = spark.range(100).select((F.col("id") / 100).alias("u"))
     got = [r[0] for r in u.select(numeric.piecewise_density(F.col("u"), [0.0, 1.0, 2.0, 4.0], [1.0, 0.0, 3.0])).collect()]
     assert sum(v < 1 for v in got) == 25 and not any(1 < v < 2 for v in got) and max(got) < 4
@@ -226,3 +229,166 @@ def test_a_stream_gives_each_repeated_event_once(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert sorted(r["kind"] for r in spark.table("firsts").collect()) == [0, 1, 2] == sorted(r["kind"] for r in first_seen(df, "ts", ["kind"], "1 hour").collect())
+
+
+def test_search_and_chain_without_a_depth_limit(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(70, 3), (200, 201)], "src long, dst long")
+    got = {r["id"]: r["level"] for r in graph.bfs(edges, spark.createDataFrame([(0,)], "id long")).collect()}
+    assert got == {i: i for i in range(71)}
+    needs = edges.selectExpr("src AS job", "dst AS needs")
+    asked = spark.createDataFrame([(0, 6), (0, 7), (0, 200), (9, 2), (70, 70), (5, 5)], "job long, other long")
+    near = {(r.job, r.other): r.is_before for r in graph.ancestors(needs, asked, 6).collect()}
+    assert near == {(0, 6): True, (0, 7): False, (0, 200): False, (9, 2): False, (70, 70): False, (5, 5): False}
+    loop = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "job long, needs long")
+    far = {(r.job, r.other): r.is_before for r in graph.ancestors(loop, spark.createDataFrame([(1, 1), (1, 3), (1, 9)], "job long, other long")).collect()}
+    assert far == {(1, 1): True, (1, 3): True, (1, 9): False}
+
+
+def test_solvers_say_when_they_do_not_end(spark):
+    a, dense = _system(spark, [2.0] * 30, -1.0)
+    b = spark.createDataFrame([(i, 1.0 + i % 3) for i in range(30)], "idx long, value double")
+    for solve in (learning.conjugate_gradient, learning.conjugate_residual, krylov.symmetric_qmr):
+        with pytest.raises(ArithmeticError):
+            solve(a, b, limit=3)
+    got = {r["idx"]: r["value"] for r in learning.conjugate_gradient(a, b).collect()}
+    assert np.allclose([got[i] for i in range(30)], np.linalg.solve(dense, [1.0 + i % 3 for i in range(30)]), atol=1e-7)
+    grid = spark.createDataFrame([(0, 0, 1.0, 0.5, 0.0)], "i long, j long, value double, u double, v double")
+    with pytest.raises(ArithmeticError):
+        simulation.frame(grid, 100.0, limit=2)
+
+
+def test_distance_of_a_circle(spark):
+    """On a distance already the result is the distance, in the band and near enough for a grid."""
+    cells = [(i, j, ((i - 10.3) ** 2 + (j - 9.6) ** 2) ** 0.5 - 5.2) for i in range(21) for j in range(21)]
+    got = simulation.signed_distance(spark.createDataFrame(cells, "i long, j long, value double"), 3).collect()
+    want = {(i, j): v for i, j, v in cells}
+    known = [r for r in got if r["distance"] is not None]
+    assert len(known) > 150 and max(abs(r["distance"] - want[r["i"], r["j"]]) for r in known) < 0.35  # of first order
+    assert all(abs(want[r["i"], r["j"]]) > 3 for r in got if r["distance"] is None)
+
+
+def test_water_frame(spark):
+    cells = [(i, j, ((i - 5.5) ** 2 + (j - 5.5) ** 2) ** 0.5 - 3.0, 0.0, 0.0) for i in range(12) for j in range(12)]
+    grid = spark.createDataFrame(cells, "i long, j long, value double, u double, v double")
+    drops = spark.createDataFrame([(1, 5.5, 5.5), (2, 11.9, 0.1)], "id long, x double, y double")
+    out, particles, steps = simulation.water_frame(grid, drops, 0.4, force=-1.0, band=2, least=1)
+    rows = out.collect()
+    assert steps >= 1 and len(rows) == 144 and all(np.isfinite([r.value, r.u, r.v]).all() for r in rows)
+    wet = [r for r in rows if r.value < 0]
+    assert 15 < len(wet) < 60 and np.mean([r.v for r in wet]) < 0.05
+    in_water = {(int(r.x), int(r.y)) for r in particles.collect()}
+    assert {(r.i, r.j) for r in wet} <= in_water | {(r.i, r.j) for r in wet if abs(r.value) < 1e-9}
+
+
+def test_flood_fill_and_tree_of_points(spark):
+    picture = ["aab", "bab", "bba"]
+    cells = spark.createDataFrame([(i, j, c) for i, row in enumerate(picture) for j, c in enumerate(row)], "i long, j long, colour string")
+    got = {(r.i, r.j): (r.i0, r.j0) for r in graph.flood(cells).collect()}
+    assert got == {(0, 0): (0, 0), (0, 1): (0, 0), (1, 1): (0, 0), (0, 2): (0, 2), (1, 2): (0, 2), (1, 0): (1, 0), (2, 0): (1, 0), (2, 1): (1, 0), (2, 2): (2, 2)}
+    points = spark.createDataFrame([(k, float(k * 37 % 64), float(k * 11 % 64)) for k in range(64)], "id long, x double, y double")
+    leaves = spatial.kd_cells(points, 3).groupBy("cell").count().collect()
+    assert len(leaves) == 8 and {r["count"] for r in leaves} == {8}
+
+
+def test_job_states_stop_at_a_wrong_event(spark):
+    log = [(1, 0, "recv", 100), (1, 1, "recv", 101), (1, 2, "unblock_io", 100), (1, 3, "dispatch", 100), (1, 3, "run", 7), (1, 5, "run", 100), (1, 6, "fin", 7), (1, 7, "run", 101), (1, 8, "fin", 100), (1, 9, "recv", 102)]
+    df = spark.createDataFrame(log, "worker long, ts long, event string, job long")
+    got = sorted(tuple(r) for r in jobs.state_levels(df, 10, 4).collect())
+    assert got == [(1, -1, 0, 0, 0, 0, 0, 0), (1, 0, 0, 0, 0, 1, 0, 0), (1, 1, 0, 0, 0, 2, 0, 0), (1, 2, 0, 0, 0, 1, 0, 1), (1, 3, 1, 0, 1, 1, 0, 0), (1, 5, 0, 1, 1, 1, 0, 0)]  # 101 runs without dispatch; stamp 6 is the last
+
+
+def test_lineages_and_appends(spark):
+    line = spark.createDataFrame([(1, 10, 100, 1), (1, 11, 101, 2), (1, 12, 102, 3)], "object long, job long, version long, depth long")
+    entry = spark.createDataFrame([(1, 9, 99, 2)], "object long, job long, version long, depth long")
+    assert sorted((r.depth, r.job) for r in versions.lineage_insert(line, entry).collect()) == [(1, 10), (2, 9), (3, 11), (4, 12)]
+    upto = spark.createDataFrame([(1, 101)], "object long, version long")
+    assert sorted(r.job for r in versions.lineage_clean(line, upto).collect()) == [11, 12]
+    before = spark.createDataFrame([(50, 1, 10), (50, 1, 11), (51, 1, 12), (52, 1, None)], "reader long, object long, job long")
+    assert {r.reader: r.version for r in versions.lineage_as_of(line, before).collect()} == {50: 101, 51: 102, 52: None}
+    rows = [("a", 1, "append", "x"), ("a", 2, "clear", ""), ("a", 3, "append", "y"), ("a", 4, "append", "z"), ("a", 5, "commit", ""), ("a", 6, "append", "lost"), ("b", 1, "append", "q")]
+    assert [tuple(r) for r in versions.committed(spark.createDataFrame(rows, "key string, seq int, kind string, data string")).collect()] == [("a", "yz")]
+
+
+def test_a_sketch_never_denies_its_own(spark):
+    keys = spark.range(300).selectExpr("cast(id * 7 as string) AS key")
+    sketch = sets.Bloom(300)
+    got = {r.key: r.may for r in sketch.probe(spark.range(2000).selectExpr("cast(id as string) AS key"), sketch.build(keys)).collect()}
+    assert sketch.probes == 6 and all(got[str(k)] for k in range(0, 2000, 7)) and sum(got.values()) < 286 + 100
+    assert sets.Bloom(1, 1).probes == 1 and sets.Bloom(1, 99).probes == 30
+
+
+def test_jobs_by_name_and_prototypes(spark):
+    app = extension.Application()
+    app.register("twice", extension._Double())
+    with pytest.raises(ValueError):
+        app.register("twice", extension._Double())
+    out = app.run([("twice", ["a"], "a"), ("twice", ["a"], "b")], a=spark.createDataFrame([(1, 3)], "k long, v long"))
+    assert out["a"].first()["v"] == 6 and out["b"].first()["v"] == 12
+    made = []
+    pool = extension.Prototypes()
+    pool.register("p", lambda region: made.append(region) or {"at": region})
+    assert pool.get("p", (1,)) is pool.get("p", (1,)) and made == [(1,)]
+    rows = spark.createDataFrame([("a", 1.0), ("a", 5.0), ("b", 2.0)], "k string, v double")
+    assert {r.k: r.v for r in extension.reduced(rows, "k", "v", lambda x, y: x + y, 0.0).collect()} == {"a": 6.0, "b": 2.0}
+
+
+def test_numbers_of_rows_and_checksums(spark):
+    df = spark.range(500).selectExpr("id", "id * 7919 % 503 AS x")
+    got = {r.x: r.place for r in numbered(df, ["x"], "place").collect()}
+    assert [got[x] for x in sorted(got)] == list(range(500))
+    check = spark.createDataFrame([("123456789",), ("",)], "t string").select(arrays.crc32c(F.col("t"))).collect()
+    assert [r[0] for r in check] == [0xE3069283, 0]
+    row = spark.createDataFrame([(1.0, -6.0, 11.0, -6.0)], "a double, b double, c double, d double")
+    assert np.allclose(row.select(numeric.cubic_roots(row.a, row.b, row.c, row.d)).first()[0], [1, 2, 3])
+    v = spark.createDataFrame([([3.0, -4.0], [0.0, 0.0])], "a array<double>, b array<double>")
+    r = v.select(arrays.normalized(v.a).alias("a"), arrays.normalized(v.b).alias("b"), arrays.most_at(v.a).alias("m"), arrays.rotated(v.a, 1).alias("r")).first()
+    assert (r.a, r.b, r.m, r.r) == ([0.6, -0.8], [1.0, 0.0], 1, [-4.0, 3.0])
+
+
+def test_region_dependencies_by_reverse_scan(spark):
+    """Against one that goes back job by job and takes away what it has found."""
+    rows = [(k, k % 2, k * 7 % 5, k * 3 % 4, 1 + k % 3, 1 + k % 2, k % 3 != 0, k % 3 != 1) for k in range(40)]
+    df = spark.createDataFrame(rows, "job long, object long, x long, y long, dx long, dy long, reads boolean, writes boolean")
+    cells = lambda r: {(i, j) for i in range(r[2], r[2] + r[4]) for j in range(r[3], r[3] + r[5])}
+    want = set()
+    for r in rows:
+        read, write = cells(r) if r[6] else set(), cells(r) if r[7] else set()
+        for e in reversed([e for e in rows if e[1] == r[1] and e[0] < r[0]]):
+            if e[7] and (read | write) & cells(e):
+                want.add((r[0], e[0]))
+            if e[6] and write & cells(e):
+                want.add((r[0], e[0]))
+            if e[7]:
+                read, write = read - cells(e), write - cells(e)
+    assert {tuple(r) for r in versions.region_dependencies(df).collect()} == want
+
+
+def test_text_sources(spark, tmp_path):
+    (tmp_path / "articles").write_text("# names\nb c\na\n\n")
+    (tmp_path / "links").write_text("a\tb c\nb c\ta\na\tnowhere\n")
+    assert sorted((r.src, r.dst) for r in texts.read_tsv_graph(spark, str(tmp_path / "articles"), str(tmp_path / "links")).collect()) == [(0, 1), (1, 0)]
+    (tmp_path / "regions").write_text("# flags\nRegW3 : (40, 40, 40), (1, 2, 1), (3, 3, 3) : central, outer\n\n")
+    r = texts.read_regions(spark, str(tmp_path / "regions")).first()
+    assert (r.name, r.domain, r.parts, r.ghost, r.flags) == ("RegW3", [40] * 3, [1, 2, 1], [3] * 3, ["central", "outer"])
+    (tmp_path / "logs").mkdir()
+    for rank in (1, 12):
+        (tmp_path / "logs" / f"{rank}_event_be.txt").write_text(f"line of {rank}\n")
+    (tmp_path / "logs" / "notes.txt").write_text("none\n")
+    assert sorted(map(tuple, texts.read_by_rank(spark, str(tmp_path / "logs"), "{}_event_be.txt").collect())) == [(1, "line of 1"), (12, "line of 12")]
+    (tmp_path / "edges").write_text("1 2\n3 4\n")
+    (tmp_path / "number").write_text("17\n")
+    assert sorted(map(tuple, files.read_edges(spark, str(tmp_path / "edges")).collect())) == [(1, 2), (3, 4)] and files.read_number(spark, str(tmp_path / "number")) == 17
+    files.write_frame(spark.range(3), str(tmp_path / "frames"), 4)
+    assert spark.read.parquet(str(tmp_path / "frames")).where("frame = 4").count() == 3
+
+
+def test_a_stream_of_sessions(spark, tmp_path):
+    at = ["00:00", "00:05", "00:30", "02:00", "09:00"]
+    df = spark.createDataFrame([(f"2024-01-01 {t}:00", "a") for t in at], "ts string, kind string").selectExpr("ts::timestamp AS ts", "kind")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = sessions(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "ts", ["kind"], "30 minutes", "10 minutes")
+    run = stream.writeStream.format("memory").queryName("spells").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    got = sorted(r["n"] for r in spark.table("spells").collect())
+    assert got == [1, 3]  # the last one is still open
+    assert sorted(r["n"] for r in sessions(df, "ts", ["kind"], "30 minutes", "10 minutes").collect()) == [1, 1, 3]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weft.registry import query, table
-from weft.runtime import iterate, kept, settle
+from weft.runtime import iterate, kept, numbered, settle
 
 
 def logistic_regression(samples: DataFrame, features: list[str], iterations: int = 10, rate: float = 0.1) -> list[float]:
@@ -238,6 +240,60 @@ def _heat(spark, d):
     return heat(grid, 8, 3, 2.0).withColumn("value", F.round("value", 6))
 
 
+def heat_blocks(grid: DataFrame, size: tuple[int, int, int], parts: tuple[int, int, int], width: int, steps: int, factor: float) -> DataFrame:
+    """As heat() on a grid of any size cut into blocks, of which each has ghosts of `width` cells around it.
+
+    A block makes `width` steps by itself before ghosts are exchanged, so that there is one shuffle for so
+    many steps. A block with its ghosts is one task's; size must be a multiple of parts.
+    """
+    if any(n % p for n, p in zip(size, parts)):
+        raise ValueError("blocks aren't equal")
+    block = [n // p for n, p in zip(size, parts)]
+    axes = ("i", "j", "k")
+
+    def advance(n: int):
+        def run(cells: pd.DataFrame) -> pd.DataFrame:
+            low = [int(cells[f"b{a}"].iloc[0]) * b - width for a, b in zip(axes, block)]
+            at = tuple(cells[a].to_numpy() - lo for a, lo in zip(axes, low))
+            now = np.zeros([b + 2 * width for b in block])
+            now[at] = cells["value"].to_numpy()
+            places = np.meshgrid(*(np.arange(len_) + lo for len_, lo in zip(now.shape, low)), indexing="ij")
+            inside = np.logical_and.reduce([(x > 0) & (x < top - 1) for x, top in zip(places, size)])
+            for _ in range(n):
+                near = sum(np.roll(now, s, axis) for axis in range(3) for s in (1, -1))
+                now = np.where(inside, near - 6.0 * now / (factor * factor), now)
+            core = tuple(slice(width, width + b) for b in block)
+            return pd.DataFrame({a: places[x][core].ravel() for x, a in enumerate(axes)} | {"value": now[core].ravel()})
+
+        return run
+
+    done = 0
+    while done < steps:
+        n = min(width, steps - done)
+        near = grid
+        for a, b in zip(axes, block):
+            near = near.withColumn(f"b{a}", F.explode(F.expr(f"sequence(floor(({a} - {width}) / {b}), floor(({a} + {width}) / {b}))")))
+        for a, p in zip(axes, parts):
+            near = near.where(F.col(f"b{a}").between(0, p - 1))
+        grid = settle(near.groupBy("bi", "bj", "bk").applyInPandas(advance(n), "i long, j long, k long, value double"))
+        done += n
+    return grid
+
+
+_AROUND = " UNION ALL ".join(f"SELECT i + {a} AS i, j + {b} AS j, k + {c} AS k, value FROM {{t}}" for a, b, c in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)))
+_BLOCKS = "".join(f", n{t} AS MATERIALIZED (SELECT i, j, k, sum(value) AS near FROM ({_AROUND.format(t=f'h{t - 1}')}) GROUP BY 1, 2, 3), h{t} AS MATERIALIZED (SELECT h.i, h.j, h.k, CASE WHEN h.i IN (0, 7) OR h.j IN (0, 7) OR h.k IN (0, top - 1) THEN value ELSE near - 6.0 * value / 4 END AS value FROM h{t - 1} h JOIN n{t} n ON n.i = h.i AND n.j = h.j AND n.k = h.k, z)" for t in range(1, 6))
+
+
+@query("h3_heat_blocks", f"WITH z AS (SELECT (count(*) // 64 - count(*) // 64 % 2)::INT AS top FROM part), h0 AS MATERIALIZED (SELECT (r - 1) % 8 AS i, (r - 1) // 8 % 8 AS j, (r - 1) // 64 AS k, p_size::DOUBLE AS value FROM (SELECT p_size, row_number() OVER (ORDER BY p_partkey) AS r FROM part), z WHERE (r - 1) // 64 < top){_BLOCKS} SELECT i, j, k, round(value, 4) AS value FROM h5")
+def _blocks(spark, d):
+    """A column of 8 by 8 cells, as high as there are parts, in 2 by 2 by 2 blocks: five steps, two between exchanges."""
+    rows = numbered(table(spark, d, "part").select("p_partkey", "p_size"), ["p_partkey"], "r")
+    top = rows.count() // 64
+    top -= top % 2
+    cell = [(F.col("r") % 8).alias("i"), F.expr("r div 8 % 8").alias("j"), F.expr("r div 64").alias("k"), F.col("p_size").cast("double").alias("value")]
+    return heat_blocks(rows.select(*cell).where(F.col("k") < top), (8, 8, top), (2, 2, 2), 2, 5, 2.0).withColumn("value", F.round("value", 4))
+
+
 @query("w13_stencil_1d", "SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS value FROM lineitem")
 def _stencil(spark, d):
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(-1, 1)
