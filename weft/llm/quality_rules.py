@@ -44,14 +44,16 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = [row_col] if row_col else []
     split = docs.select(F.col(id_col).alias("id"), *row, F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), text.alias("t"), words(F.col(text_col)).alias("w"))
+    # what is counted is picked out of the text once
+    split = split.withColumn("marks", F.regexp_replace("t", r"[^A-Z!#*$%&|<>]+", ""))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     split = split.select(
         "id",
         *row,
         "stratum",
-        F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.regexp_count("t", F.lit("!")).cast("long").alias("n_bangs"),
-        F.regexp_count("t", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
+        F.regexp_count("marks", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count("marks", F.lit("!")).cast("long").alias("n_bangs"),
+        F.regexp_count("marks", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.size("w").cast("long").alias("n_words"),
         lines.alias("lines"),
