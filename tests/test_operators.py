@@ -41,6 +41,16 @@ def test_box_join_against_all_pairs(spark):
     assert sorted(map(tuple, regions.box_join(df, df, "intersect", 4).collect())) == want
 
 
+def test_box_join_of_boxes_small_and_very_large(spark):
+    boxes = [(i, i * 7 % 97 - 20, i * 5 % 89 - 30, (1, 3, 40, 100_000)[i % 4], (2, 900, 1, 5)[i % 4]) for i in range(48)]
+    df = spark.createDataFrame(boxes, "id long, x long, y long, dx long, dy long")
+    for kind in ("intersect", "cover", "adjacent"):
+        over = lambda a, b, k: (a[k] < b[k] + b[k + 2]) and (b[k] < a[k] + a[k + 2])
+        touch = lambda a, b, k: (a[k] <= b[k] + b[k + 2]) and (b[k] <= a[k] + a[k + 2])
+        holds = {"intersect": lambda a, b: over(a, b, 1) and over(a, b, 2), "cover": lambda a, b: all(a[k] <= b[k] and b[k] + b[k + 2] <= a[k] + a[k + 2] for k in (1, 2)), "adjacent": lambda a, b: touch(a, b, 1) and touch(a, b, 2) and not (over(a, b, 1) and over(a, b, 2))}[kind]
+        assert sorted(map(tuple, regions.box_join(df, df, kind, 4).collect())) == sorted((a[0], b[0]) for a in boxes for b in boxes if holds(a, b))
+
+
 def test_conjugate_gradient(spark):
     a = spark.createDataFrame([(i, j, 4.0 if i == j else 1.0) for i in range(8) for j in range(8) if abs(i - j) < 2], "row long, col long, value double")
     b = spark.createDataFrame([(i, float(i)) for i in range(8)], "idx long, value double")

@@ -16,19 +16,21 @@ def logistic_regression(samples: DataFrame, features: list[str], iterations: int
     """Weights from zero by full gradient steps on samples (features..., label -1 or 1).
 
     Each step is one aggregate with partial sums on the executors; what comes back is a row of
-    len(features) sums, and goes out again as literals.
+    len(features) sums, and goes out again as one row that is joined, so that all steps are one plan.
     """
-    w = [0.0] * len(features)
+    spark, w = samples.sparkSession, [0.0] * len(features)
+    margin = sum((F.col(f) * F.get("w", F.lit(k)) for k, f in enumerate(features)), F.lit(0.0))
+    pull = F.col("label") * (1 / (1 + F.exp(-F.col("label") * margin)) - 1)
+    sums = [F.sum(pull * F.col(f)) for f in features]
     for _ in range(iterations):
-        margin = sum((F.col(f) * v for f, v in zip(features, w)), F.lit(0.0))
-        pull = F.col("label") * (1 / (1 + F.exp(-F.col("label") * margin)) - 1)
-        got = samples.agg(F.count(F.lit(1)), *(F.sum(pull * F.col(f)) for f in features)).first()
+        now = F.broadcast(spark.createDataFrame([(w,)], "w array<double>"))
+        got = samples.join(now).agg(F.count(F.lit(1)), *sums).first()
         w = [v - rate * (g or 0.0) / max(got[0], 1) for v, g in zip(w, got[1:])]
     return w
 
 
 def kmeans(samples: DataFrame, features: list[str], start: list[list[float]], iterations: int = 10) -> list[list[float]]:
-    """Means from given ones; each sample goes to the nearest, of several the first. Means are literals, at most a few hundred."""
+    """Means from given ones; each sample goes to the nearest, of several the first. Means are one row that is joined, so that all rounds are one plan."""
     means = start
     for _ in range(iterations):
         got = assign(samples, features, means).groupBy("cluster").agg(F.count(F.lit(1)), *(F.sum(f) for f in features)).collect()
@@ -38,8 +40,10 @@ def kmeans(samples: DataFrame, features: list[str], start: list[list[float]], it
 
 
 def assign(samples: DataFrame, features: list[str], means: list[list[float]]) -> DataFrame:
-    far = [F.struct(sum(((F.col(f) - v) * (F.col(f) - v) for f, v in zip(features, m)), F.lit(0.0)).alias("d"), F.lit(k).alias("k")) for k, m in enumerate(means)]
-    return samples.withColumn("cluster", F.array_min(F.array(*far))["k"])
+    now = F.broadcast(samples.sparkSession.createDataFrame([([[float(v) for v in m] for m in means],)], "_means array<array<double>>"))
+    square = lambda m: sum(((F.col(f) - F.get(m, F.lit(k))) * (F.col(f) - F.get(m, F.lit(k))) for k, f in enumerate(features)), F.lit(0.0))
+    nearest = F.array_min(F.transform("_means", lambda m, k: F.struct(square(m).alias("d"), k.alias("k"))))["k"]
+    return samples.join(now).withColumn("cluster", nearest).drop("_means")
 
 
 _X = ["x0", "x1", "x2", "x3"]

@@ -11,25 +11,36 @@ from weft.runtime import numbered
 AXES = ("x", "y")
 
 
-def _cells(box: DataFrame, size: int, grow: int = 0) -> DataFrame:
-    """box (id, x, y, dx, dy) with a row for each coarse cell that it touches."""
+def _level(size: int, grow: int) -> Column:
+    """The least level whose cells, of size * 2^level, are as large as a box."""
+    most = F.greatest(F.col("dx"), F.col("dy")) + 2 * grow
+    return F.greatest(F.ceil(F.log2(most / F.lit(float(size)))), F.lit(0)).cast("int")
+
+
+def _cells(box: DataFrame, size: int, levels: list[int], grow: int = 0) -> DataFrame:
+    """box (id, x, y, dx, dy) with its own level and a row for each cell that it touches at that level and all higher ones of levels: two by two a level at most."""
+    box = box.withColumn("own", _level(size, grow))
+    box = box.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda n: n >= F.col("own")))).withColumn("wide", F.expr(f"{size} * shiftleft(1L, level)"))
     for a in AXES:
-        box = box.withColumn(f"c{a}", F.explode(F.sequence(F.expr(f"floor(({a} - {grow}) / {size})"), F.expr(f"floor(({a} + d{a} - 1 + {grow}) / {size})"))))
+        box = box.withColumn(f"c{a}", F.explode(F.sequence(F.expr(f"floor(({a} - {grow}) / wide)"), F.expr(f"floor(({a} + d{a} - 1 + {grow}) / wide)"))))
     return box
 
 
 def box_join(left: DataFrame, right: DataFrame, kind: str, size: int = 8) -> DataFrame:
     """Pairs (a, b) of boxes (id, x, y, dx, dy): left intersects, covers or is adjacent to right.
 
-    Boxes meet in coarse cells, by an equi-join; each pair counts in one cell only, that of the greatest
-    of both corners, so that no distinct is needed. Cells much smaller than boxes multiply rows.
+    Boxes meet in cells, by an equi-join, at the level of the larger one, so that none is in many cells,
+    however large it is; each pair counts in one cell only, that of the greatest of both corners, so that
+    no distinct is needed. Levels are doublings, a few dozen at most.
     """
     grow = 1 if kind == "adjacent" else 0
-    a = _cells(left, size, grow).select(F.col("id").alias("a"), "cx", "cy", *(F.col(c).alias(f"a_{c}") for c in ("x", "y", "dx", "dy")))
-    b = _cells(right, size).select(F.col("id").alias("b"), "cx", "cy", *(F.col(c).alias(f"b_{c}") for c in ("x", "y", "dx", "dy")))
-    both = a.join(b, ["cx", "cy"])
+    found = left.select(_level(size, grow).alias("n")).union(right.select(_level(size, 0))).distinct()
+    levels = sorted(r[0] for r in found.where("n is not null").collect()) or [0]
+    a = _cells(left, size, levels, grow).select(F.col("id").alias("a"), "level", "wide", "cx", "cy", F.col("own").alias("own_a"), *(F.col(c).alias(f"a_{c}") for c in ("x", "y", "dx", "dy")))
+    b = _cells(right, size, levels).select(F.col("id").alias("b"), "level", "cx", "cy", F.col("own").alias("own_b"), *(F.col(c).alias(f"b_{c}") for c in ("x", "y", "dx", "dy")))
+    both = a.join(b, ["level", "cx", "cy"]).where(F.col("level") == F.greatest("own_a", "own_b"))
     for x in AXES:
-        both = both.where(F.col(f"c{x}") == F.floor(F.greatest(F.col(f"a_{x}") - grow, F.col(f"b_{x}")) / size))
+        both = both.where(F.col(f"c{x}") == F.floor(F.greatest(F.col(f"a_{x}") - grow, F.col(f"b_{x}")) / F.col("wide")))
     return both.where(relation(kind)).select("a", "b")
 
 
