@@ -228,6 +228,9 @@ def test_bpe_as_the_library(spark, docs, empty, vocabulary):
     codec = Codec(ranks, public_tokenizers.PATTERN)
     for text, ids in zip(texts, codec.encode(texts)):
         assert ids == library.encode_ordinary(text or "") and codec.decode(ids) == (text or "").encode()
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    every = ["".join(points[i : i + 997]) for i in range(0, len(points), 997)]
+    assert all(ids == library.encode_ordinary(text) and codec.decode(ids) == text.encode() for text, ids in zip(every, codec.encode(every)))
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = {i: library.encode_ordinary(t) for i, t in rows}
     for r in queries.QUERIES["op2_byte_bpe"](spark, SF).collect():

@@ -13,7 +13,8 @@ import base64
 import gc
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -186,11 +187,22 @@ def _codec(sent: tuple[str, dict[bytes, int]], pattern: str) -> Codec:
     digest, ranks = sent
     if (digest, pattern) not in _CODECS:
         _CODECS.clear()
-        gc.disable()  # millions of tuples without cycles
         _CODECS[digest, pattern] = Codec(ranks, pattern)
     return _CODECS[digest, pattern]
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without the cycle collector for as long as a task encodes: it makes millions of tuples, and no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def _sent(spark: SparkSession, vocabulary: str | None, pattern: str | None):
     """The vocabulary, with a digest of it, as a broadcast, and the pattern."""
     import public_tokenizers
@@ -211,9 +223,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value, pattern)
-        for batch in batches:
-            ids = pa.array(list(codec.encode(batch.column(1).to_pylist())), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
+        with _uncollected():
+            for batch in batches:
+                ids = pa.array(list(codec.encode(batch.column(1).to_pylist())), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
@@ -243,13 +256,17 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value, pattern)
         decimal = list(map(str, range(len(codec.bytes_of)))).__getitem__
-        for batch in batches:
-            n, ids_sha, decoded_sha = [], [], []
-            for ids in codec.encode(batch.column(1).to_pylist()):
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with _uncollected():
+            for batch in batches:
+                yield digests(codec, decimal, batch)
+
+    def digests(codec: Codec, decimal: Callable[[int], str], batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, ids_sha, decoded_sha = [], [], []
+        for ids in codec.encode(batch.column(1).to_pylist()):
+            n.append(len(ids))
+            ids_sha.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
+            decoded_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()

@@ -11,14 +11,14 @@ sections, both of them sorted, and a token that crosses a boundary goes by an ex
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.byte_bpe import _codec, _sent
+from weft.llm.byte_bpe import Codec, _codec, _sent, _uncollected
 from weft.llm.common import table
 
 RULES = ("start", "majority", "split")
@@ -71,17 +71,21 @@ def token_attribution(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, spans = _codec(sent.value, pattern), re.compile(section).finditer
         length = np.array([len(b or b"") for b in codec.bytes_of], dtype=np.int64)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n, crossing, tokens, outside = [], [], [], []
-            for text, ids in zip(texts, codec.encode(texts)):
-                at = np.array([m.span() for m in spans((text or "").encode())], dtype=np.int64).reshape(-1, 2)
-                count, across, rest = attribute(np.cumsum(length[np.array(ids, dtype=np.int64)]), at[:, 1], rule, at[:, 0])
-                n.append(len(ids))
-                crossing.append(across)
-                tokens.append(count)
-                outside.append(rest)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(list(map(len, tokens)), pa.int64()), pa.array(crossing, pa.int64()), pa.array(tokens, pa.list_(pa.float64())), pa.array(outside, pa.float64())], ["id", "n_tokens", "n_sections", "n_crossing", "section_tokens", "outside_tokens"])
+        with _uncollected():
+            for batch in batches:
+                yield counted(codec, spans, length, batch)
+
+    def counted(codec: Codec, spans: Callable[[bytes], Iterable[re.Match]], length: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(1).to_pylist()
+        n, crossing, tokens, outside = [], [], [], []
+        for text, ids in zip(texts, codec.encode(texts)):
+            at = np.array([m.span() for m in spans((text or "").encode())], dtype=np.int64).reshape(-1, 2)
+            count, across, rest = attribute(np.cumsum(length[np.array(ids, dtype=np.int64)]), at[:, 1], rule, at[:, 0])
+            n.append(len(ids))
+            crossing.append(across)
+            tokens.append(count)
+            outside.append(rest)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(list(map(len, tokens)), pa.int64()), pa.array(crossing, pa.int64()), pa.array(tokens, pa.list_(pa.float64())), pa.array(outside, pa.float64())], ["id", "n_tokens", "n_sections", "n_crossing", "section_tokens", "outside_tokens"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
