@@ -74,15 +74,16 @@ def phase_time(spark, d):
     return e.groupBy("user_id", "phase").agg(F.sum("dt").alias("us"))
 
 
-_MARKED = "m AS (SELECT user_id % 10 AS machine, user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line FROM events), o AS (SELECT machine, avg(us) AS middle FROM m WHERE line = 3 GROUP BY 1)"
+_MARKED = "m AS (SELECT user_id % 10 AS machine, user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line FROM events), o AS (SELECT machine, sum(us) AS total, count(*) AS n FROM m WHERE line = 3 GROUP BY 1)"
 
 
-@query("w9_clock_aligned", f"WITH {_MARKED} SELECT event_id, round(us - middle + 100, 3) AS aligned FROM m JOIN o USING (machine)")
+@query("w9_clock_aligned", f"WITH {_MARKED} SELECT event_id, (us::HUGEINT * n - total)::DOUBLE / n + 100 AS aligned FROM m JOIN o USING (machine)")
 def clock_aligned(spark, d):
-    """Clocks of ten machines shifted by the mean stamp of their users' marker rows, here the third of each. Means are joined back by a grouped sum, not by a window over all of a machine's rows."""
+    """Clocks of ten machines shifted by the mean stamp of their users' marker rows, here the third of each. Sums are joined back, not a window over all of a machine's rows, and taken off as whole numbers, of which no digit is lost."""
     e = _events(spark, d).withColumns({"machine": F.col("user_id") % 10, "line": F.row_number().over(_user())})
-    middle = e.where("line = 3").groupBy("machine").agg(F.avg("us").alias("middle"))
-    return e.join(middle, "machine").select("event_id", F.round(F.col("us") - F.col("middle") + 100, 3).alias("aligned"))
+    middle = e.where("line = 3").groupBy("machine").agg(F.sum(F.col("us").cast("decimal(18,0)")).alias("total"), F.count(F.lit(1)).alias("n"))
+    off = (F.col("us").cast("decimal(18,0)") * F.col("n").cast("decimal(10,0)") - F.col("total")).cast("double")
+    return e.join(middle, "machine").select("event_id", (off / F.col("n") + 100).alias("aligned"))
 
 
 @query("w12_straggler_rank", "SELECT user_id, round(percent_rank() OVER (ORDER BY n, user_id), 6) AS rank, ntile(4) OVER (ORDER BY n, user_id)::INT AS quarter FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
