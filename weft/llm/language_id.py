@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from weft.llm.common import held_out, table
 
@@ -126,21 +125,29 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
     return total[:-1], int(total[-1])
 
 
+def _frame(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, least: int = LEAST) -> Model:
     """A model learnt from rows whose lang is not null; an id has the least lang of its rows.
 
     Languages and frequencies cover all of them. Weights come from max(least, sample / languages) ids of
-    each language at most, of each id the least row. Without a row that has a letter the model knows no
+    each language at most, of each id the least row; four times as many ids, and 64, of each language
+    come to the driver to be chosen from. Without a row that has a letter the model knows no
     language. With fewer than 25 ids none is kept back, and the temperature is that of the ids learnt from.
     """
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     frequency, n = document_frequencies(rows, "text")
-    # the sample is found by ids alone, so that the sort carries no texts; an id counts once, however often it repeats
-    ids = rows.where("id is not null").groupBy("id").agg(F.min("lang").alias("lang"))
-    quota = max(least, sample // max(1, rows.agg(F.countDistinct("lang")).first()[0]))
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(1)), "id"))
-    # the limit is applied before rows of a language meet
-    first = ids.withColumn("place", place).where(F.col("place") <= quota).select("id")
+    # the sample is found by ids alone, so that no texts are moved; an id counts once, however often it repeats
+    ids = rows.where("id is not null").groupBy("id").agg(F.min("lang").alias("lang")).withColumn("h", F.xxhash64("id", F.lit(1)))
+    per = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toPandas()  # a row for each language
+    quota = max(least, sample // max(1, len(per)))
+    # low hashes that surely hold the first `quota` of a language, and not many more, whatever its size
+    bar = [(x, int(min(2.0**63 - 1025, 2.0**64 * (4 * quota + 64) / k - 2.0**63))) for x, k in zip(per["lang"], per["n"])]
+    bars = F.broadcast(_frame(labelled, bar, "lang string, bar long"))
+    low = ids.join(bars, "lang").where("h <= bar").select("lang", "h", "id").toPandas().sort_values(["lang", "h", "id"])
+    first = _frame(labelled, [(x,) for x in low.groupby("lang").head(quota)["id"]], "id string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
