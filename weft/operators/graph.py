@@ -63,16 +63,23 @@ def bfs(edges: DataFrame, start: DataFrame) -> DataFrame:
         level += 1
         found = front.join(edges, front.id == edges.src).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
         front = settle(found.withColumn("level", F.lit(level)))
-        seen = settle(seen.union(front))
+        seen = _grown(seen, front, level)
     return seen
 
 
+def _grown(seen: DataFrame, front: DataFrame, level: int, every: int = 8) -> DataFrame:
+    """seen and the last level's nodes; every few levels they are written as one."""
+    return settle(seen.union(front)) if level % every == 0 else seen.union(front)
+
+
 def preorder(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(id, path) of the nodes of trees, by depth-first search: children by their ids, a node before its subtree, in the order of path, the ids from the root."""
     seen = front = settle(roots.select("id", F.array("id").alias("path")))
+    level = 0
     while not front.isEmpty():
+        level += 1
         front = settle(front.join(edges, front.id == edges.src).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path")))
-        seen = settle(seen.union(front))
+        seen = _grown(seen, front, level)
     return seen
 
 
@@ -100,7 +107,7 @@ def ancestors(needs: DataFrame, asked: DataFrame, depth: int | None = None) -> D
         up = front.join(needs.select(F.col("job").alias("at"), F.col("needs").alias("next")), "at").select("job", F.col("next").alias("at")).distinct()
         found = up if found is None else settle(found.union(up).distinct())
         front = settle(up.join(seen, ["job", "at"], "left_anti"))
-        seen = settle(seen.union(front))
+        seen = _grown(seen, front, k)
     if found is None:
         return asked.withColumn("is_before", F.lit(False))
     hit = found.distinct().select("job", F.col("at").alias("other"), F.lit(True).alias("hit"))
