@@ -8,6 +8,7 @@ from weft.functions import arrays, numeric
 from weft.operators import extension, graph, grids, jobs, krylov, learning, regions, sets, simulation, spatial, versions
 from weft.runtime import numbered
 from weft.sources import files, texts
+from weft.streaming.states import tracked
 from weft.streaming.windows import first_seen, sessions, windowed
 
 
@@ -402,3 +403,23 @@ def test_a_stream_of_sessions(spark, tmp_path):
     got = sorted(r["n"] for r in spark.table("spells").collect())
     assert got == [1, 3]  # the last one is still open
     assert sorted(r["n"] for r in sessions(df, "ts", ["kind"], "30 minutes", "10 minutes").collect()) == [1, 1, 3]
+
+
+def test_a_stream_keeps_the_state_of_its_keys(spark, tmp_path):
+    rows = [(f"2024-01-01 00:{m:02}:00", m % 3, float(m)) for m in range(12)]
+    df = spark.createDataFrame(rows, "ts string, kind long, value double").selectExpr("ts::timestamp AS ts", "kind", "value")
+    for part in ("minute(ts) >= 6", "minute(ts) < 6"):  # the later half comes first
+        df.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = tracked(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "kind", "ts", "value")
+    run = stream.writeStream.format("memory").queryName("keys").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    seen = {}
+    for r in spark.table("keys").collect():
+        seen[r.kind] = max(seen.get(r.kind, (0,)), (r.n, r.total, r.last))
+    want = {r.kind: (r.n, r.total, r.last) for r in tracked(df, "kind", "ts", "value").collect()}
+    assert seen == want == {k: (4, sum(v for _, x, v in rows if x == k), float(9 + k)) for k in range(3)}
+
+
+def test_an_application_starts_by_name(spark):
+    got = extension.entry(spark, ["p4_out_of_range", "/root/testdata/sf0.001"])
+    assert got.columns == ["p_partkey"] and got.count() > 0

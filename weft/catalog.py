@@ -6,7 +6,7 @@ import importlib
 
 from weft.registry import QUERIES, SQL
 
-MODULES = ("operators.graph", "operators.logs", "operators.jobs", "operators.sets", "operators.versions", "operators.regions", "operators.learning", "operators.krylov", "operators.grids", "operators.simulation", "operators.spatial", "operators.extension", "functions.scalars", "functions.arrays", "functions.numeric", "sources.files", "sources.texts", "streaming.windows")
+MODULES = ("operators.graph", "operators.logs", "operators.jobs", "operators.sets", "operators.versions", "operators.regions", "operators.learning", "operators.krylov", "operators.grids", "operators.simulation", "operators.spatial", "operators.extension", "functions.scalars", "functions.arrays", "functions.numeric", "sources.files", "sources.texts", "streaming.windows", "streaming.states")
 for _name in MODULES:
     importlib.import_module(f"weft.{_name}")
 
