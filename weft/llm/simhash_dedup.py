@@ -36,7 +36,7 @@ DISTANCE, SHINGLE, SEED = 4, 4, 42
 HOT, FULL, FAN = 1 << 14, 1 << 12, 16
 #: Pairs of fingerprint and node that a search has in memory; fingerprints that a task gathers before it searches.
 FRONT, GATHER = 1 << 20, 1 << 16
-#: Shares into which a component's fingerprints are dealt when they get its name.
+#: Shares into which the edges of a node, and a component's fingerprints, are dealt.
 SHARES = 256
 _STEP = 1 << 16
 
@@ -251,26 +251,32 @@ def _stretched(nodes: DataFrame, sizes: DataFrame, distance: int) -> DataFrame:
     return cool.unionByName(hot.join(ends, ["mask", "key", "own"]).select("mask", "key", "a", "b", "fp"))
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with m, the least b of their a. The edges of one a are summed, and get their m, in SHARES of limited size."""
+    dealt = edges.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(SHARES)).cast("int"))
+    shares = dealt.groupBy("a", "share").agg(F.min("b").alias("m"))
+    least = shares.groupBy("a").agg(F.min("m").alias("m"))
+    return dealt.join(shares.select("a", "share").join(least, "a"), ["a", "share"]).drop("share")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the least node of its component.
 
     Alternating large-star and small-star rounds, each written to the checkpoint folder, until every edge
-    leads to a root. Only partial minima and edges are shuffled; a star's centre may be hot, so minima come
-    from partial aggregation and joins can be split.
+    leads to a root. A star's centre may be hot; no task has more of it than a share of its edges.
     """
     now = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         # large star: larger neighbours go to the least of a node and its neighbours
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         # small star: a node and its smaller neighbours go to the least of these
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = settle(_with_least(large))
+        small = low.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = settle(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         # done when no node has two edges and no root has a root
         twice = after.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        if twice.isEmpty() and after.join(after.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+        if twice.isEmpty() and after.join(after.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty():
             return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
         now = after
 
