@@ -6,7 +6,7 @@ import __spark_entry__
 from weft.functions.scalars import escape, unescape
 from weft.functions import arrays, numeric
 from weft.operators import extension, graph, grids, jobs, krylov, learning, regions, sets, simulation, spatial, versions
-from weft.runtime import numbered
+from weft.runtime import numbered, settle
 from weft.sources import files, texts
 from weft.streaming.states import tracked
 from weft.streaming.windows import first_seen, sessions, windowed
@@ -301,6 +301,23 @@ def test_flood_fill_and_tree_of_points(spark):
     assert len(leaves) == 8 and {r["count"] for r in leaves} == {8}
 
 
+def _estimated(df):
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+
+
+def test_estimated_sizes_stay_small_over_rounds(spark):
+    """A snake of one region takes many rounds; each would square the estimated size several times, in the driver."""
+    snake = [(i, j) for i in range(0, 16, 2) for j in range(8)] + [(i, 7 * (i // 2 % 2 == 0)) for i in range(1, 15, 2)]
+    out = graph.flood(spark.createDataFrame([(i, j, 1) for i, j in snake], "i long, j long, colour int"))
+    assert {(r.i, r.j, r.i0, r.j0) for r in out.collect()} == {(i, j, 0, 0) for i, j in snake}
+    assert _estimated(out) < 2**64
+    now = spark.range(20).selectExpr("id", "id AS x")
+    for _ in range(6):
+        now = settle(now.join(now.select("id", F.col("x").alias("y")), "id").select("id", F.col("y").alias("x")))
+    assert _estimated(now) < 2**64 and sorted(map(tuple, now.collect())) == [(k, k) for k in range(20)]
+    assert _estimated(settle(spark.range(20))) == 160  # a size that is no more than unknown stays
+
+
 def test_job_states_stop_at_a_wrong_event(spark):
     log = [(1, 0, "recv", 100), (1, 1, "recv", 101), (1, 2, "unblock_io", 100), (1, 3, "dispatch", 100), (1, 3, "run", 7), (1, 5, "run", 100), (1, 6, "fin", 7), (1, 7, "run", 101), (1, 8, "fin", 100), (1, 9, "recv", 102)]
     df = spark.createDataFrame(log, "worker long, ts long, event string, job long")

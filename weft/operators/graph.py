@@ -119,7 +119,7 @@ def flood(cells: DataFrame) -> DataFrame:
     cell = F.struct(F.col("i").alias("i"), F.col("j").alias("j"))
     sides = F.array(*(F.struct(F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")).alias("side"), F.lit(k).alias("axis")) for k, (a, b) in enumerate(((0, 0), (1, 0), (0, 1)))))
     given = cells.select(cell.alias("src"), "colour", F.inline(sides))
-    here = given.where("axis = 0").select("side", F.col("colour").alias("own"))
+    here = given.where("axis = 0").select("side", F.col("colour").alias("own")).hint("merge")  # all cells: by their estimated size they would be sent through the driver
     touching = given.where("axis > 0").join(here, "side").where(F.col("colour").eqNullSafe(F.col("own"))).select("src", F.col("side").alias("dst"))
     alone = cells.select(cell.alias("src"), cell.alias("dst"))
     return components(touching.union(alone)).select("id.i", "id.j", F.col("component.i").alias("i0"), F.col("component.j").alias("j0"))

@@ -10,13 +10,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+#: Bytes that Spark takes for a table of which it knows nothing.
+UNKNOWN = 2**63 - 1
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut df's lineage with a checkpoint in the folder that the cluster shares, or in the warehouse where none is set."""
+    """Cut df's lineage with a checkpoint in the folder that the cluster shares, or in the warehouse where none is set.
+
+    A checkpoint keeps the size that was estimated for its plan, and a join's is the product of its sides'. Where
+    rounds join what they have made with itself, its digits would double again and again until they fill the driver,
+    so a size above UNKNOWN is forgotten.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getConf().get("spark.checkpoint.dir", "") and not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    return df.checkpoint()
+    held = df.checkpoint()
+    rows = held._jdf.queryExecution().analyzed()
+    if rows.stats().sizeInBytes() <= UNKNOWN:
+        return held
+    jvm, session = spark._jvm, spark._jsparkSession
+    none = jvm.scala.Option.empty()
+    rows = jvm.org.apache.spark.sql.execution.LogicalRDD(rows.output(), rows.rdd(), rows.outputPartitioning(), rows.outputOrdering(), False, none, session, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, rows), spark)
 
 
 def kept(df: DataFrame, *keys: str) -> DataFrame:
