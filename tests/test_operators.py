@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from weft import catalog
 from weft.functions.scalars import escape, unescape
 from weft.functions import arrays, numeric
 from weft.operators import extension, graph, grids, jobs, krylov, learning, regions, sets, simulation, spatial, versions
@@ -318,6 +319,22 @@ def test_estimated_sizes_stay_small_over_rounds(spark):
     assert _estimated(settle(spark.range(20))) == 160  # a size that is no more than unknown stays
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_difference_of_cells_sends_no_side_to_the_driver(spark):
+    """The size of cells is estimated from that of their boxes, far too low for large ones."""
+    schema = "id long, x long, y long, dx long, dy long"
+    boxes = spark.createDataFrame([(1, 0, 0, 4, 2), (2, 2, 1, 4, 2), (3, -5, -5, 1, 1)], schema)
+    remove = spark.createDataFrame([(4, 1, 0, 2, 3), (5, 2, 0, 1, 3), (6, 50, 50, 1, 1)], schema)
+    area = lambda *boxes: {(i, j) for x, y, dx, dy in boxes for i in range(x, x + dx) for j in range(y, y + dy)}
+    want = area((0, 0, 4, 2), (2, 1, 4, 2), (-5, -5, 1, 1)) - area((1, 0, 2, 3), (2, 0, 1, 3))
+    out = regions.difference_cells(boxes, remove)
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert "Broadcast" not in _plan(catalog.QUERIES["u5_difference_cells"](spark, "/root/testdata/sf0.001"))
+
+
 def test_job_states_stop_at_a_wrong_event(spark):
     log = [(1, 0, "recv", 100), (1, 1, "recv", 101), (1, 2, "unblock_io", 100), (1, 3, "dispatch", 100), (1, 3, "run", 7), (1, 5, "run", 100), (1, 6, "fin", 7), (1, 7, "run", 101), (1, 8, "fin", 100), (1, 9, "recv", 102)]
     df = spark.createDataFrame(log, "worker long, ts long, event string, job long")

@@ -86,10 +86,16 @@ def _union(spark, d):
     return cells(_boxes(spark, d)).distinct()
 
 
+def difference_cells(boxes: DataFrame, remove: DataFrame) -> DataFrame:
+    """(i, j) of the cells of boxes that no box of remove has, once each: one sum over the cells of both, so that neither side is sent whole through the driver."""
+    both = cells(boxes).withColumn("gone", F.lit(False)).unionByName(cells(remove).withColumn("gone", F.lit(True)))
+    return both.groupBy("i", "j").agg(F.max("gone").alias("gone")).where("not gone").select("i", "j")
+
+
 @query("u5_difference_cells", f"WITH {_BOXES} {_CELLS.format('dx > dy')} EXCEPT {_CELLS.format('dx <= dy')}")
 def _difference(spark, d):
     b = _boxes(spark, d)
-    return cells(b.where("dx > dy")).distinct().join(cells(b.where("dx <= dy")), ["i", "j"], "left_anti")
+    return difference_cells(b.where("dx > dy"), b.where("dx <= dy"))
 
 
 def difference(boxes: DataFrame, remove: DataFrame, size: int = 8) -> DataFrame:
