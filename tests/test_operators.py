@@ -335,6 +335,16 @@ def test_difference_of_cells_sends_no_side_to_the_driver(spark):
     assert "Broadcast" not in _plan(catalog.QUERIES["u5_difference_cells"](spark, "/root/testdata/sf0.001"))
 
 
+def test_near_pairs_send_no_points_to_the_driver(spark):
+    points = [(k, k * 37 % 50 - 25, k * 11 % 40 - 20) for k in range(90)] + [(90, -25, -20), (91, 4, 0), (92, 0, 0)]
+    df = spark.createDataFrame(points, "id long, x long, y long")
+    got = sorted(tuple(r) for r in spatial.near_pairs(df, df, 4.0).select("a", "b", "square").collect())
+    want = sorted((a, b, s) for a, ax, ay in points for b, bx, by in points if (s := (ax - bx) ** 2 + (ay - by) ** 2) <= 16)
+    assert got == want and (91, 92, 16) in got
+    for name in ("v8_near_points", "v9_in_spheres"):
+        assert "Broadcast" not in _plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
 def test_job_states_stop_at_a_wrong_event(spark):
     log = [(1, 0, "recv", 100), (1, 1, "recv", 101), (1, 2, "unblock_io", 100), (1, 3, "dispatch", 100), (1, 3, "run", 7), (1, 5, "run", 100), (1, 6, "fin", 7), (1, 7, "run", 101), (1, 8, "fin", 100), (1, 9, "recv", 102)]
     df = spark.createDataFrame(log, "worker long, ts long, event string, job long")

@@ -18,11 +18,14 @@ def _bins(points: DataFrame, size: float, reach: int) -> DataFrame:
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Pairs (a, b, square) of points (id, x, y) within radius: left is given to its bin and those around, right to its own, so each pair meets once."""
+    """Pairs (a, b, square) of points (id, x, y) within radius: left is given to its bin and those around, right to its own, so each pair meets once.
+
+    Bins are merged, not broadcast: the size of points is estimated too low for a copy of them to go through the driver.
+    """
     a = _bins(left, radius, 1).select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy")
     b = _bins(right, radius, 0).select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy")
     square = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
-    return a.join(b, ["cx", "cy"]).select("a", "b", square.alias("square")).where(F.col("square") <= radius * radius)
+    return a.join(b.hint("merge"), ["cx", "cy"]).select("a", "b", square.alias("square")).where(F.col("square") <= radius * radius)
 
 
 def plane_side(low: list[str], high: list[str], normal: list[float], offset: float) -> Column:
